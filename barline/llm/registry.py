@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from barline.llm import mixing, quality_rules, simhash
+from barline.llm import mixing, pieces, quality_rules, simhash, token_count
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op5_token_counts": token_count.query,
     "op6_source_mixing": mixing.query,
+    "op8_sentencepiece": pieces.query,
     "op9_simhash_dedup": simhash.query,
 }
 SQL = {
