@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from barline.llm import mixing, pieces, quality_rules, simhash, token_count
+from barline.llm import classifier, language, mixing, pieces, quality_rules, simhash, token_count
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_quality_classifier": classifier.query,
     "op5_token_counts": token_count.query,
     "op6_source_mixing": mixing.query,
     "op8_sentencepiece": pieces.query,
     "op9_simhash_dedup": simhash.query,
+    "op10_language_id": language.query,
 }
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
