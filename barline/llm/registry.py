@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barline.llm import classifier, language, mixing, pieces, quality_rules, simhash, token_count
+from barline.llm import classifier, language, mixing, pieces, quality_rules, simhash, token_count, weighted_sampling
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op3_quality_classifier": classifier.query,
+    "op4_weighted_sampling": weighted_sampling.query,
     "op5_token_counts": token_count.query,
     "op6_source_mixing": mixing.query,
     "op8_sentencepiece": pieces.query,
