@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from barline.llm import classifier, language, mixing, pieces, quality_rules, simhash, token_count, weighted_sampling
+import corpus_pipeline
+from barline.llm import classifier, language, mixing, pieces, pii, quality_rules, simhash, token_count, weighted_sampling
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_pii_pseudonyms": pii.query,
     "op2_quality_rules": quality_rules.query,
     "op3_quality_classifier": classifier.query,
     "op4_weighted_sampling": weighted_sampling.query,

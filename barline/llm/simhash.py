@@ -224,9 +224,16 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``df`` whose doc_id is the smallest of its component; rows with a null id all stay."""
-    kept = near_duplicates(df, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return df.where("doc_id is null").unionByName(df.join(kept, "doc_id", "left_semi").select(*df.columns))
+    """One row of ``df`` (doc_id, text, ...) per component: that of its smallest doc_id.
+
+    Rows that repeat an id are one document.  Rows with a null id all stay.
+    """
+    found = durable(near_duplicates(df, radius), "simhash-found")
+    copies = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    kept = df.join(copies, "doc_id", "left_anti").select(*df.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
