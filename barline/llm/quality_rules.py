@@ -140,8 +140,13 @@ def assess(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text
 
 
 def keep(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """The rows of ``df`` that no rule rejects."""
-    return assess(df, rules).where("kept").select(*df.columns)
+    """The rows of ``df`` that no rule rejects.
+
+    The row number keeps the optimiser from pushing the filter below the statistics, which would
+    work the word list out anew in every lambda.
+    """
+    assessed = assess(df, rules).withColumn("__row", F.monotonically_increasing_id())
+    return assessed.where("kept and __row >= 0").select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
