@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from barline.plans import bar_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for part in (bar_queries,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
