@@ -55,8 +55,8 @@ query(
 )(lambda s, d: src.mini_quote(src.bars(s, d)))
 query(
     "symbol_search",
-    "SELECT p_partkey, coalesce(p_name, '') AS name, p_brand AS exchange, p_type AS type FROM part WHERE contains(lower(p_name), '1') AND trim(p_name) <> '' ORDER BY p_partkey LIMIT 8",
-)(lambda s, d: src.search(src.table(s, d, "part"), "1"))
+    "SELECT p_partkey, coalesce(p_name, '') AS name, p_brand AS exchange, p_type AS type FROM part WHERE contains(lower(p_name), 'bolt') AND trim(p_name) <> '' ORDER BY p_partkey LIMIT 8",
+)(lambda s, d: src.search(src.table(s, d, "part"), "Bolt"))
 query(
     "instrument_dimension",
     "SELECT c_custkey, c_name, coalesce(n_name, '') AS country, coalesce(r_name, '') AS zone FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
