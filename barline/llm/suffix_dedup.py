@@ -4,14 +4,15 @@ Every 400-byte window has an anchor: its least hashed 32-byte gram, the leftmost
 windows have equal anchors, so windows meet by anchor and no other pair needs a look.  The windows
 of one anchor occurrence are a run of starts; the bytes they span are a segment.
 
-1. Segments are reduced to hashes (an anchor and 128 bits) and counted with map-side combining.
-   A segment found twice is repeated as a whole.
+1. Segments are reduced to hashes (the anchor's and the segment's, 128 bits), combined within each
+   batch and counted by anchor.  A segment found twice is repeated as a whole.
 2. Where segments of one anchor differ, one of each kind is fetched, and a suffix array is built
    over the segments of many anchors.  Runs of suffixes with a common prefix of 400 bytes whose left
    neighbours differ are scanned with a stack; each common-prefix interval with diverse left
    extension is a maximal repeat, reported with all its occurrences.
-3. Anchors with more than ``MAX_KINDS`` kinds are settled by counting hashes of their windows, so
-   no group of them meets in one task.
+3. Anchors with more than ``MAX_KINDS`` kinds are settled by counting hashes, so no group of them
+   meets in one task: blocks of ``BLOCK`` windows first, by the bytes that all windows of a block
+   hold, then the single windows of blocks whose common bytes are found twice.
 
 Bytes are covered by what was found in 1 to 3, judged on the input.  The text is shuffled by id
 once for 2 and the final cut.
@@ -36,7 +37,10 @@ from barline.llm.common import documents, durable
 LENGTH = 400
 GRAM = 32
 #: Kinds of segment of one anchor that meet in one suffix array.
-MAX_KINDS = 2_000
+MAX_KINDS = 4_000
+BLOCK = 16
+#: Segments of crowded anchors up to this count are broadcast (40 bytes each) to fetch their bytes.
+BROADCAST_SEGMENTS = 200_000
 #: Bytes of text that are hashed, and of segments that are sorted, at once.
 SLICE = 1 << 18
 SORTED = 1 << 20
@@ -45,6 +49,9 @@ _rng = np.random.default_rng(20)
 BYTE = _rng.integers(0, 1 << 64, (2, 256), np.uint64)
 BASE = [int(b) | 5 for b in _rng.integers(1 << 32, 1 << 63, 2, np.uint64)]
 
+#: Low bits of a gram's hash that give way to its place, so that the leftmost of equals is least.
+PLACE = np.uint64((1 << 24) - 1)
+
 
 class Powers:
     """Powers of the two bases and of their inverses modulo 2**64."""
@@ -101,17 +108,16 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one anchor over documents that end at ``ends``.
 
-    Returns document, first start in ``data``, number of starts, anchor hash and two segment hashes.
+    Returns document, first start in ``data``, number of starts, anchor hash and segment hash.
     """
     begins = np.concatenate(([0], ends[:-1]))
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     h = Hashes(data)
     p = np.arange(len(data) - gram + 1)
     g = h.of(0, p, p + gram)
-    place = np.uint64((1 << 24) - 1)
-    least = sliding_least((g & ~place) | p.astype(np.uint64), length - gram + 1)
-    anchor = (least & place).astype(np.int64)
+    least = sliding_least((g & ~PLACE) | p.astype(np.uint64), length - gram + 1)
+    anchor = (least & PLACE).astype(np.int64)
     i = np.arange(len(anchor))
     doc = np.repeat(np.arange(len(ends)), ends - begins)[: len(anchor)]
     valid = i + length <= ends[doc]
@@ -121,17 +127,17 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     end = last + length
     own = last - first + 1
     shape = mix((own * 4096 + anchor[first] - first).astype(np.uint64))
-    return doc[first], first, own, g[anchor[first]], h.of(0, first, end) ^ shape, h.of(1, first, end) + shape
+    return doc[first], first, own, g[anchor[first]], h.of(1, first, end) ^ shape
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(id, t, text) -> a row per segment: id, t, start, own, anchor, h1, h2."""
-    names = ["id", "t", "start", "own", "anchor", "h1", "h2"]
+    """(id, t, text) -> a row per segment: id, t, start, own, anchor, h."""
+    names = ["id", "t", "start", "own", "anchor", "h"]
 
     def rows(ids, ts, starts, data, ends):
-        d, first, own, a, h1, h2 = segments(data, ends)
+        d, first, own, a, h = segments(data, ends)
         begin = np.concatenate(([0], ends[:-1]))
-        cols = [ids[d], ts[d], starts[d] + first - begin[d], own, a.view(np.int64), h1.view(np.int64), h2.view(np.int64)]
+        cols = [ids[d], ts[d], starts[d] + first - begin[d], own, a.view(np.int64), h.view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         data = np.frombuffer(b"".join(parts), np.uint8)
         return rows(np.array(ids, np.int64), np.array(ts, np.int64), np.array(at, np.int64), data, np.cumsum([len(p) for p in parts]))
 
-    return docs.select("id", "t", "text").mapInArrow(run, "id long, t long, start long, own long, anchor long, h1 long, h2 long")
+    return docs.select("id", "t", "text").mapInArrow(run, "id long, t long, start long, own long, anchor long, h long")
 
 
 class SuffixArray:
@@ -177,16 +183,16 @@ class SuffixArray:
         self.ranks = []
         for level in self.LEVELS:
             rank, _ = self._dense(key)
-            self.ranks.append(np.concatenate((rank, np.zeros(1024, np.int64))))
-            key = (rank << 32) | self.ranks[-1][level : level + n]
+            self.ranks.append(np.concatenate((rank, np.zeros(1024, np.int32))))
+            key = (rank.astype(np.int64) << 32) | self.ranks[-1][level : level + n]
         self.order = self._dense(key)[1]
 
     @staticmethod
     def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
         s = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = 1 + np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
+        rank = np.empty(len(key), np.int32)
+        rank[order] = 1 + np.concatenate(([0], np.cumsum(s[1:] != s[:-1], dtype=np.int32)))
         return rank, order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -292,38 +298,73 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (anchor, id, t, start, bytes) -> a row per window: id, t, from, w1, w2."""
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: segment rows -> one row per (anchor, h) of a batch, with its number and first row."""
+    for b in batches:
+        cols = {n: b.column(n).to_numpy() for n in ("anchor", "h", "id", "t", "start", "own")}
+        order = np.lexsort((cols["h"], cols["anchor"]))
+        a, h = cols["anchor"][order], cols["h"][order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]))) if len(a) else np.zeros(0, bool)
+        first = np.nonzero(new)[0]
+        n = np.diff(np.append(first, len(a)))
+        yield pa.RecordBatch.from_arrays([pa.array(c[order][first]) for c in cols.values()] + [pa.array(n)], [*cols, "n"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (anchor, id, t, start, bytes) -> a row per block: core, id, t, from, window hashes.
+
+    Blocks are cut at fixed distances from the anchor, so equal windows lie in equal blocks; ``core``
+    hashes the bytes that all windows of a full block share.
+    """
     for b in batches:
+        out = []
         for _, i, t, start, raw in zip(*(b.column(c).to_pylist() for c in range(5))):
             h = Hashes(np.frombuffer(raw, np.uint8))
             p = np.arange(len(raw) - LENGTH + 1)
-            w1, w2 = (h.of(k, p, p + LENGTH).view(np.int64) for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(p), i), np.full(len(p), t), start + p, w1, w2)], ["id", "t", "from", "w1", "w2"])
+            w = h.of(0, p, p + LENGTH).view(np.int64)
+            q = np.arange(LENGTH - GRAM + 1)
+            anchor = int(((h.of(0, q, q + GRAM) & ~PLACE) | q.astype(np.uint64)).argmin())
+            near = np.arange((anchor - len(p) + 1) // BLOCK if anchor >= len(p) - 1 else 0, anchor // BLOCK + 1) * BLOCK
+            cores = h.of(1, anchor - near, anchor - near + LENGTH - BLOCK + 1).view(np.int64)
+            for n, core in zip(near.tolist(), cores.tolist()):
+                lo, hi = max(0, anchor - n - BLOCK + 1), min(len(p), anchor - n + 1)
+                out.append((core, i, t, start + lo, w[lo:hi]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["core", "id", "t", "from", "w"])
+
+
+def hot_coverage(segs: DataFrame) -> DataFrame:
+    """(anchor, id, t, start, raw) -> (id, t, from, to) of windows found twice, by hashes alone."""
+    blocks = durable(segs.mapInArrow(_blocks, "core long, id long, t long, from long, w array<long>"), "suffix-blocks")
+    twice = blocks.groupBy("core").count().where("count > 1").select("core")
+    open_ = durable(blocks.join(twice, "core", "left_semi").select("core", "id", "t", "from", F.posexplode("w").alias("k", "w")), "suffix-windows")
+    found = open_.groupBy("core", "w").count().where("count > 1").select("core", "w")
+    start = F.col("from") + F.col("k")
+    return open_.join(found, ["core", "w"], "left_semi").select("id", "t", start.alias("from"), (start + LENGTH).alias("to"))
 
 
 def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS) -> DataFrame:
     """(id, t, text) -> (id, t, from, to): byte ranges that hold a string found elsewhere."""
-    key = ["anchor", "h1", "h2"]
+    key = ["anchor", "h"]
     found = durable(anchors(docs), "suffix-anchors")
-    kinds = found.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "start", "own")).alias("one"))
+    rows = found.mapInArrow(_combine, "anchor long, h long, id long, t long, start long, own long, n long").repartition("anchor")
+    kinds = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "start", "own")).alias("one"))
     kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 or kinds > 1")
     kinds = durable(kinds, "suffix-kinds")
     to = (F.col("start") + F.col("own") + (LENGTH - 1)).alias("to")
     whole = found.join(kinds.where("n > 1").select(*key), key, "left_semi").select("id", "t", F.col("start").alias("from"), to)
     mixed = kinds.where("kinds > 1").select("anchor", "kinds", "one.*")
     bare = docs.select(F.col("id").alias("i2"), F.col("t").alias("t2"), "text")
-    fetched = bare.join(mixed, (F.col("i2") == F.col("id")) & (F.col("t2") == F.col("t")))
-    raw = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int"))
-    fetched = fetched.select("anchor", "id", "t", "start", raw.alias("raw"), "kinds")
-    small = fetched.where(F.col("kinds") <= max_kinds).drop("kinds")
-    ranges = "id long, t long, from long, to long"
-    out = whole.union(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, ranges))
-    if not mixed.where(F.col("kinds") > max_kinds).isEmpty():
-        large = fetched.where(F.col("kinds") > max_kinds).drop("kinds")
-        windows = durable(large.mapInArrow(_windows, "id long, t long, from long, w1 long, w2 long"), "suffix-windows")
-        twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-        out = out.union(windows.join(twice, ["w1", "w2"], "left_semi").select("id", "t", "from", F.col("from") + LENGTH))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        rows = bare.join(wanted, (F.col("i2") == F.col("id")) & (F.col("t2") == F.col("t")))
+        raw = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int"))
+        return rows.select("anchor", "id", "t", "start", raw.alias("raw"))
+
+    few, many = (mixed.where(c).drop("kinds") for c in (F.col("kinds") <= max_kinds, F.col("kinds") > max_kinds))
+    out = whole.union(fetched(few).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "id long, t long, from long, to long"))
+    if n := many.count():
+        out = out.union(hot_coverage(fetched(F.broadcast(many) if n <= BROADCAST_SEGMENTS else many)))
     return out
 
 
@@ -344,8 +385,12 @@ def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def prepared(df: DataFrame) -> DataFrame:
+    """(id, t, text): rows of one id and t have one text; t is a hash only where ids repeat or are null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    ids = F.col("doc_id").cast("long")
+    unique = df.groupBy(ids.alias("i")).count().where("i is null or count > 1").isEmpty()
+    t = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    return df.select(F.coalesce(ids, F.lit(-(1 << 63))).alias("id"), t.alias("t"), text.alias("text"))
 
 
 def remove_repeats(df: DataFrame, max_kinds: int = MAX_KINDS) -> DataFrame:
