@@ -59,8 +59,11 @@ class PrefixEncoder:
         self.matches.make_automaton()
         self.unknown = re.compile(f"([^{''.join(map(re.escape, sorted(self.known)))}])")
         self.cut_lines = "\n" not in self.known
+        # Each cache has two generations: a full young one becomes the old one, whose entries come back when met.
         self.units: dict[str, tuple[int, ...]] = {}
+        self.old_units: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.most_units, self.most_pairs = cached_units, cached_pairs
         self.size = n
 
@@ -80,8 +83,11 @@ class PrefixEncoder:
     def compatible(self, a: int, b: int) -> bool:
         key = a * self.size + b
         if len(self.pairs) >= self.most_pairs:
-            self.pairs.clear()
-        fits = self.pairs[key] = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+            self.old_pairs, self.pairs = self.pairs, {}
+        fits = self.old_pairs.get(key)
+        if fits is None:
+            fits = self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+        self.pairs[key] = fits
         return fits
 
     def _known_part(self, part: str) -> list[int]:
@@ -126,10 +132,12 @@ class PrefixEncoder:
         units = self.units
         fresh = set(keys).difference(units)
         if len(units) + len(fresh) > self.most_units:
-            units.clear()
-            fresh = set(keys)
+            self.old_units, self.units = units, {}
+            units, fresh = self.units, set(keys)
+        old = self.old_units
         for k in fresh:
-            units[k] = self._unit(k if k[:1] in (SPACE, "\n") else SPACE + k)
+            ids = old.get(k)
+            units[k] = self._unit(k if k[:1] in (SPACE, "\n") else SPACE + k) if ids is None else ids
         return list(chain.from_iterable(map(units.__getitem__, keys)))
 
     def decode(self, ids: list[int]) -> str:
