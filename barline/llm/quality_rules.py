@@ -98,13 +98,15 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def plan_cascade(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float]]:
+def plan_cascade(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float]]:
     """Rules in the order to run them, each with its rejections per second on the sample.
 
     A rule's cost is the time of a pass over the cached sample that evaluates only this rule, less
     that of a pass that evaluates none.
     """
-    sample = df.limit(sample_rows).cache()
+    total = df.count()
+    sample = df.sample(False, min(1.0, 1.2 * sample_rows / total), seed=7) if total > sample_rows else df
+    sample = base_stats(sample.limit(sample_rows), text).cache()
     try:
         rows = sample.count()
 
@@ -135,7 +137,7 @@ def assess(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text
     """``df`` plus base statistics, base_failed, rejected_by and kept."""
     stats = base_stats(df, text).drop("kept", "rejected_by")
     rules = default_rules(text) if rules is None else rules
-    order = [r for r, _ in plan_cascade(stats, rules)]
+    order = [r for r, _ in plan_cascade(df.select(text), rules, text)]
     return stats.withColumn("rejected_by", verdict(order)).withColumn("kept", F.col("rejected_by").isNull())
 
 
