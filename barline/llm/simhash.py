@@ -7,6 +7,10 @@ planes of 64 lanes, distances of a query to all lanes are added up by carry-save
 are dealt out as pairs of chunks.  A block hands on one star edge per linked member, never pairs,
 and components are closed by distributed label passing.
 
+``near_duplicates`` links fingerprints of three-word shingles within two bits.  ``deduplicate`` serves
+near copies by similarity: 256-bit fingerprints of five-word shingles, compared the same way, within
+the bits that a similarity of 0.8 leaves; there, documents meet by shared least shingles.
+
 Defined cases: null and blank texts have no word and fingerprint zero, linked like any other;
 repeated rows and ids keep a row each; the component of rows whose reachable ids are all null is
 null; an empty table gives an empty result.
@@ -66,18 +70,20 @@ def fingerprints(df: DataFrame) -> DataFrame:
 def close_pairs(fps: np.ndarray, first: np.ndarray, size: np.ndarray, radius: int = RADIUS, budget: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), j < i, of fingerprints within ``radius`` in the same group.
 
-    ``fps`` holds the groups one after the other; group g is ``first[g] : first[g] + size[g]``.
+    ``fps`` (rows of 64-bit words) holds the groups one after the other; group g is
+    ``first[g] : first[g] + size[g]``.
     """
     blocks_of = -(-size // LANES)
     block_first = np.concatenate([f + LANES * np.arange(k) for f, k in zip(first, blocks_of)]) if len(first) else np.zeros(0, np.int64)
     block_group = np.repeat(np.arange(len(first)), blocks_of)
     width = np.minimum(LANES, first[block_group] + size[block_group] - block_first)
-    padded = np.concatenate((fps, np.zeros(LANES, np.uint64)))
-    lanes = padded[block_first[:, None] + np.arange(LANES)]
-    planes = np.empty((64, len(block_first)), np.uint64)
+    padded = np.concatenate((fps, np.zeros((LANES, fps.shape[1]), np.uint64)))
+    planes = np.empty((64 * fps.shape[1], len(block_first)), np.uint64)
     weight = np.uint64(1) << np.arange(LANES, dtype=np.uint64)
-    for p in range(64):
-        planes[p] = (((lanes >> np.uint64(p)) & np.uint64(1)) * weight).sum(1, dtype=np.uint64)
+    for word in range(fps.shape[1]):
+        lanes = padded[block_first[:, None] + np.arange(LANES), word]
+        for p in range(64):
+            planes[64 * word + p] = (((lanes >> np.uint64(p)) & np.uint64(1)) * weight).sum(1, dtype=np.uint64)
     alive = np.where(width == LANES, ~np.uint64(0), (np.uint64(1) << (width % LANES).astype(np.uint64)) - np.uint64(1))
     # a query meets the blocks of its group up to its own
     for at in range(0, len(block_first), max(1, budget // LANES)):
@@ -98,8 +104,8 @@ def _compare(fps, planes, alive, block_first, q, blk, radius):
     counters = [np.zeros(len(q), np.uint64) for _ in range(max(1, (radius + 1).bit_length()))]
     over = ~alive[blk]
     one = np.uint64(1)
-    for p in range(64):
-        x = planes[p][blk] ^ (np.uint64(0) - ((fps[q] >> np.uint64(p)) & one))
+    for p in range(len(planes)):
+        x = planes[p][blk] ^ (np.uint64(0) - ((fps[q, p >> 6] >> np.uint64(p & 63)) & one))
         for k in range(len(counters)):
             counters[k], x = counters[k] ^ x, counters[k] & x
         over |= x
@@ -137,9 +143,9 @@ def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _stars(radius: int, most: int = 1 << 16):
-    """mapInArrow body: rows (key, lo, hi, chunk, fp) sorted by group -> star edges (a, b)."""
+    """mapInArrow body: rows (key, lo, hi, node, fingerprint words) sorted by group -> star edges (a, b)."""
 
-    def solve(fps: np.ndarray, cut: np.ndarray) -> pa.RecordBatch | None:
+    def solve(node: np.ndarray, fps: np.ndarray, cut: np.ndarray) -> pa.RecordBatch | None:
         first, size = cut[:-1], np.diff(cut)
         several = size > 1
         parent = np.arange(len(fps))
@@ -148,7 +154,7 @@ def _stars(radius: int, most: int = 1 << 16):
         linked = np.nonzero(parent != np.arange(len(fps)))[0]
         if not len(linked):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[parent[linked]].view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[parent[linked]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -156,15 +162,15 @@ def _stars(radius: int, most: int = 1 << 16):
 
         def flush(everything: bool):
             nonlocal held, rows
-            t = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+            t = np.concatenate(held, axis=1) if held else np.zeros((5, 0), np.int64)
             edge = np.nonzero((t[:3, 1:] != t[:3, :-1]).any(0))[0] + 1
             cut = np.concatenate(([0], edge, [t.shape[1]])) if everything else np.concatenate(([0], edge))
             end = cut[-1]
             held, rows = [t[:, end:]], t.shape[1] - end
-            return solve(t[3, :end].view(np.uint64).copy(), cut) if end else None
+            return solve(t[3, :end], np.ascontiguousarray(t[4:, :end].T).view(np.uint64), cut) if end else None
 
         for b in batches:
-            held.append(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)]))
+            held.append(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(b.num_columns)]))
             rows += b.num_rows
             if rows >= most and (out := flush(False)) is not None:
                 yield out
@@ -181,15 +187,24 @@ def links(classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataF
     part = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
     keys = [(F.lit(n) * F.lit(1 << 32) + part[a] * F.lit(1 << 16) + part[b]) for n, (a, b) in enumerate(pairs)]
-    keyed = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    keyed = classes.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    return meet(keyed, radius, chunk)
+
+
+def meet(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(key, node, w0, ...) rows -> star edges (a, b) over all pairs of a key within ``radius``.
+
+    Keys beyond ``chunk`` rows are dealt out as pairs of chunks, so none meets in one task.
+    """
+    words = [c for c in keyed.columns if c not in ("key", "node")]
     hot = durable(keyed.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "simhash-hot")
     if hot.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp")
+        dealt = keyed.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", *words)
     else:
-        n, c = F.coalesce("n", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int")
-        dealt = keyed.join(hot, "key", "left").select("key", "fp", c.alias("c"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-        dealt = dealt.select("key", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "fp")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
+        n, c = F.coalesce("n", F.lit(1)), F.pmod(F.xxhash64("node"), F.coalesce("n", F.lit(1))).cast("int")
+        dealt = keyed.join(hot, "key", "left").select("key", "node", *words, c.alias("c"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+        dealt = dealt.select("key", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "node", *words)
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return dealt.mapInArrow(_stars(radius), "a long, b long").distinct()
 
 
@@ -223,15 +238,74 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of ``df`` (doc_id, text, ...) per component: that of its smallest doc_id.
+#: For similarity: five-word shingles, a 256-bit fingerprint, and as many least shingles as meeting keys.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_KEYS, SIMILARITY = 5, 4, 8, 0.8
+KEY_MIX = np.random.default_rng(17).integers(1, 1 << 63, WIDE_KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits expected at this Jaccard similarity of equally long texts, plus two standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE_WORDS
+    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
+
+
+def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """256 majority bits as four words, and for each key the least mixed hash of a shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(WIDE_WORDS, np.uint64), np.zeros(WIDE_KEYS, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    k = min(n, len(words))
+    starts, stops = np.concatenate(([0], ends[: len(words) - k])).tolist(), (ends[k - 1 :] - 1).tolist()
+    digest, set_bits, least = xxhash.xxh3_128_digest, np.zeros(64 * WIDE_WORDS, np.int64), np.full(WIDE_KEYS, ~np.uint64(0))
+    for at in range(0, len(starts), SLICE):
+        grams = [joined[a:b] for a, b in zip(starts[at : at + SLICE], stops[at : at + SLICE])]
+        raw = [np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 16) for seed in (1, 2)]
+        set_bits += np.concatenate([np.unpackbits(r, axis=1).sum(0, dtype=np.int64) for r in raw])
+        h = np.ascontiguousarray(raw[0]).view(np.uint64)[:, 0]
+        for j, m in enumerate(KEY_MIX):
+            x = h * m
+            least[j] = min(least[j], (x ^ (x >> np.uint64(31))).min())
+    return np.packbits(2 * set_bits > len(starts)).view(np.uint64), least
+
+
+def similar_components(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text) rows -> doc_id, component_id by similarity of five-word shingles.
+
+    Documents that share one of eight least shingles meet (at similarity 0.8 all but 3 in a million
+    pairs do) and are compared by their 256-bit fingerprints.  Rows with a null id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_fingerprint(t.as_py()) for t in b.column(1)]
+            w = np.stack([f for f, _ in found]).view(np.int64) if found else np.zeros((0, WIDE_WORDS), np.int64)
+            k = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(w[:, j]) for j in range(WIDE_WORDS)), k], ["doc_id", *words, "keys"])
+
+    words = [f"w{j}" for j in range(WIDE_WORDS)]
+    schema = "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
+    rows = durable(df.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "simhash-wide")
+    classes = durable(rows.groupBy(*words).agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "simhash-wide-classes")
+    keyed = classes.select(F.posexplode("keys").alias("j", "k"), "node", *words).select(F.xxhash64("j", "k").alias("key"), "node", *words)
+    roots = components(meet(keyed, wide_radius(similarity)))
+    of = classes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select(*(F.col(w).alias(f"c_{w}") for w in words), F.coalesce("root", "node").alias("component_id"))
+    of = durable(of, "simhash-wide-roots")
+    same = [F.col(w) == F.col(f"c_{w}") for w in words]
+    return rows.join(of, same).select("doc_id", "component_id")
+
+
+def deduplicate(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``df`` (doc_id, text, ...) per group of similar documents: that of the smallest doc_id.
 
     Rows that repeat an id are one document.  Rows with a null id all stay.
     """
-    found = durable(near_duplicates(df, radius), "simhash-found")
-    copies = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    found = durable(similar_components(df, similarity), "simhash-found")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = df.join(copies, "doc_id", "left_anti").select(*df.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 

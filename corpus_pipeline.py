@@ -5,7 +5,8 @@ DataFrame over everything its predecessor kept.  ``run`` writes every stage but
 in the shared folder and hands the reread table on.
 
 1. ``quality_rules``: documents that a rule rejects go.
-2. ``near_dedup``: of each SimHash component the document with the smallest id stays.
+2. ``near_dedup``: of each group of documents whose five-word shingles are similar (0.8 or more by
+   SimHash) the one with the smallest id stays.
 3. ``pseudonyms``: personal data in texts gets format-preserving pseudonyms.
 4. ``source_mixing``: each document comes as often as its source's repetition rate says.
 5. ``encode``: one row per emitted document with token count and digests of ids and decoded text.
