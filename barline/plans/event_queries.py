@@ -54,7 +54,7 @@ query(
         "SELECT *, 1 - sessions_ago / 10 > 0 AS active, round(CASE WHEN 1 - sessions_ago / 10 > 0 THEN 0.085::DOUBLE * greatest(-3, least(3, (greatest(-20, least(20, surprise_pct)) - 5.3387::DOUBLE) / 8.7637::DOUBLE)) * (1 - sessions_ago / 10) ELSE 0 END::DOUBLE, 6) AS tilt FROM recent",
     ),
 )(lambda s, d: rounded(events.pead_tilt(events.recent_earnings(src.earnings(s, d), src.bars(s, d)), 21), tilt=6))
-query("forward_asof", sql.select(f"{sql.BARS}, {EARN}", 'SELECT o_orderkey, ev.ticker, event_date, ix.dt AS session, ix.i FROM er ev ASOF LEFT JOIN ix ON ev.ticker = ix.ticker AND ev.event_date <= ix.dt'))(
+query("forward_asof", sql.select(f"{sql.BARS}, {EARN}", 'SELECT o_orderkey, ev.ticker, event_date, ix.dt AS session, CAST(ix.i AS INT) AS i FROM er ev ASOF LEFT JOIN ix ON ev.ticker = ix.ticker AND ev.event_date <= ix.dt'))(
     lambda s, d: events.forward_asof(src.earnings(s, d), src.sessions(src.bars(s, d)), "dt", "i").select("o_orderkey", "ticker", "event_date", F.col("dt").alias("session"), "i")
 )
 _PEAD = f"""{sql.BARS}, {EARN}, pb AS (SELECT *, lag("close") OVER w AS pre, lead("close") OVER w AS entry, lead("close", 22) OVER w AS xit FROM ix WINDOW w AS (PARTITION BY ticker ORDER BY dt)),
@@ -247,8 +247,8 @@ def _legs(s, d, hold, near=4, far=52, sign=1):
 
 
 query("weekly_closes", f"WITH {_XS} SELECT name, wk, c AS \"close\" FROM wk")(lambda s, d: src.weekly_closes(s, d))
-query("xs_momentum_legs", f"WITH {_legs_sql(4)} SELECT i, name, round(sig, 9) AS sig, round(fwd, 9) AS fwd, leg FROM lg")(lambda s, d: rounded(_legs(s, d, 4), sig=9, fwd=9))
-query("xs_reversal_legs", f"WITH {_legs_sql(1, 0, 5, -1)} SELECT i, name, round(sig, 9) AS sig, round(fwd, 9) AS fwd, leg FROM lg")(lambda s, d: rounded(_legs(s, d, 1, 0, 5, -1), sig=9, fwd=9))
+query("xs_momentum_legs", f"WITH {_legs_sql(4)} SELECT CAST(i AS INT) AS i, name, round(sig, 9) AS sig, round(fwd, 9) AS fwd, leg FROM lg")(lambda s, d: rounded(_legs(s, d, 4), sig=9, fwd=9))
+query("xs_reversal_legs", f"WITH {_legs_sql(1, 0, 5, -1)} SELECT CAST(i AS INT) AS i, name, round(sig, 9) AS sig, round(fwd, 9) AS fwd, leg FROM lg")(lambda s, d: rounded(_legs(s, d, 1, 0, 5, -1), sig=9, fwd=9))
 _X = {k: 6 for k in ("gross_mean_pct", "gross_sharpe", "net_mean_pct", "net_sharpe", "hit_rate", "half1_pct", "half2_pct", "mean_long_pct", "mean_short_pct")}
 query(
     "xs_spread_stats",

@@ -124,7 +124,7 @@ query(
 query(
     "feed_entries",
     f"""WITH {ARTICLES}, e AS (SELECT source AS feed, row_number() OVER (PARTITION BY source ORDER BY article_id) - 1 AS pos, * FROM art)
-SELECT feed, pos, trim({_sql_unescape('title')}) AS title, {_sql_clean('summary')} AS summary, published FROM e WHERE pos < 40 AND trim({_sql_unescape('title')}) <> ''""",
+SELECT feed, CAST(pos AS INT) AS pos, trim({_sql_unescape('title')}) AS title, {_sql_clean('summary')} AS summary, published FROM e WHERE pos < 40 AND trim({_sql_unescape('title')}) <> ''""",
 )(lambda s, d: news.parse_feed(_entries(s, d)).select("feed", "pos", "title", "summary", "published"))
 
 
