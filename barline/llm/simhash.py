@@ -238,6 +238,8 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
 
 
+#: Ids of copies up to this count are broadcast (8 bytes each); beyond it the texts are shuffled by id.
+BROADCAST_COPIES = 2_000_000
 #: For similarity: five-word shingles, a 256-bit fingerprint, and as many least shingles as meeting keys.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_KEYS, SIMILARITY = 5, 4, 8, 0.8
 KEY_MIX = np.random.default_rng(17).integers(1, 1 << 63, WIDE_KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -304,6 +306,8 @@ def deduplicate(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     found = durable(similar_components(df, similarity), "simhash-found")
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
     kept = df.join(copies, "doc_id", "left_anti").select(*df.columns)
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
