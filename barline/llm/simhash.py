@@ -8,8 +8,8 @@ are dealt out as pairs of chunks.  A block hands on one star edge per linked mem
 and components are closed by distributed label passing.
 
 ``near_duplicates`` links fingerprints of three-word shingles within two bits.  ``deduplicate`` serves
-near copies by similarity: 256-bit fingerprints of five-word shingles, compared the same way, within
-the bits that a similarity of 0.8 leaves; there, documents meet by shared least shingles.
+near copies by the exact Jaccard similarity of five-word shingle sets; documents meet by shared least
+shingles, and 256-bit fingerprints, compared the same way, only keep distant ones apart.
 
 Defined cases: null and blank texts have no word and fingerprint zero, linked like any other;
 repeated rows and ids keep a row each; the component of rows whose reachable ids are all null is
@@ -18,6 +18,7 @@ null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -238,11 +239,14 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
 
 
-#: Ids of copies up to this count are broadcast (8 bytes each); beyond it the texts are shuffled by id.
-BROADCAST_COPIES = 2_000_000
+#: Ids that are broadcast at once (8 bytes each); more go in rounds.
+BROADCAST_IDS = 2_000_000
 #: For similarity: five-word shingles, a 256-bit fingerprint, and as many least shingles as meeting keys.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_KEYS, SIMILARITY = 5, 4, 8, 0.8
 KEY_MIX = np.random.default_rng(17).integers(1, 1 << 63, WIDE_KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
+WORD_MIX = np.random.default_rng(18).integers(1, 1 << 63, WIDE_WORDS, np.uint64)
+#: Shingles of one group that meet in one task; larger groups become pairs of chunks.
+SET_CHUNK = 4_000_000
 
 
 def wide_radius(similarity: float) -> int:
@@ -252,50 +256,180 @@ def wide_radius(similarity: float) -> int:
     return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
 
 
-def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """256 majority bits as four words, and for each key the least mixed hash of a shingle."""
+def loose_radius(similarity: float) -> int:
+    """Prefilter: differing bits at this similarity of the least favourable small sets, plus five deviations."""
+    p = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, (1 - similarity) * 15 / 16)
+    n = 64 * WIDE_WORDS
+    return int(n * p + 5 * np.sqrt(n * p * (1 - p)))
+
+
+def shingle_set(text: str | None, n: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the ``n``-word shingles; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE_WORDS, np.uint64), np.zeros(WIDE_KEYS, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     k = min(n, len(words))
     starts, stops = np.concatenate(([0], ends[: len(words) - k])).tolist(), (ends[k - 1 :] - 1).tolist()
-    digest, set_bits, least = xxhash.xxh3_128_digest, np.zeros(64 * WIDE_WORDS, np.int64), np.full(WIDE_KEYS, ~np.uint64(0))
-    for at in range(0, len(starts), SLICE):
-        grams = [joined[a:b] for a, b in zip(starts[at : at + SLICE], stops[at : at + SLICE])]
-        raw = [np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint8).reshape(-1, 16) for seed in (1, 2)]
-        set_bits += np.concatenate([np.unpackbits(r, axis=1).sum(0, dtype=np.int64) for r in raw])
-        h = np.ascontiguousarray(raw[0]).view(np.uint64)[:, 0]
-        for j, m in enumerate(KEY_MIX):
-            x = h * m
-            least[j] = min(least[j], (x ^ (x >> np.uint64(31))).min())
-    return np.packbits(2 * set_bits > len(starts)).view(np.uint64), least
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """256 majority bits of distinct hashes as four words."""
+    set_bits = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(h), SLICE):
+        x = h[at : at + SLICE, None] ^ WORD_MIX
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        set_bits += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * set_bits > len(h)).view(np.uint64)
+
+
+def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """256 majority bits over the distinct shingles as four words, and for each key their least mixed hash."""
+    return _sketch(shingle_set(text, n))
+
+
+def _sketch(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(h):
+        return np.zeros(WIDE_WORDS, np.uint64), np.zeros(WIDE_KEYS, np.uint64)
+    mixed = (h * m for m in KEY_MIX)
+    return majority(h), np.array([(x ^ (x >> np.uint64(31))).min() for x in mixed], np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``similarity``."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) < similarity * len(b):
+        return len(b) == 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Each set's least linked one, over all links of ``similarity`` within the loose radius.
+
+    Pairs that earlier links join need no check; the nearest fingerprints are checked first.
+    """
+    fps = np.stack([majority(s) for s in sets])
+    n, parent = np.array([len(s) for s in sets]), np.arange(len(sets))
+    for i, j in close_pairs(fps, np.array([0]), np.array([len(sets)]), loose_radius(similarity)):
+        fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(1), kind="stable")
+        i, j, many = i[order], j[order], 64
+        while len(i):
+            open_ = parent[i] != parent[j]
+            i, j = i[open_], j[open_]
+            ok = np.fromiter((similar(sets[a], sets[b], similarity) for a, b in zip(i[:many].tolist(), j[:many].tolist())), bool, min(many, len(i)))
+            merge(parent, i[:many][ok], j[:many][ok])
+            i, j, many = i[many:], j[many:], min(2 * many, 1 << 16)
+    return parent
+
+
+def in_rounds(ids: DataFrame, column: str, name: str, body) -> DataFrame:
+    """``body(broadcast ids, which)`` over all ``ids``, at most about ``BROADCAST_IDS`` of them at once.
+
+    ``which`` tells the round's rows by an id column; rounds are written one after the other.
+    """
+    rounds = -(-ids.count() // BROADCAST_IDS)
+    if rounds <= 1:
+        return body(F.broadcast(ids), lambda c: F.lit(True))
+    done = []
+    for r in range(rounds):
+        which = lambda c, r=r: F.pmod(F.xxhash64(c), F.lit(rounds)) == r
+        done.append(durable(body(F.broadcast(ids.where(which(column))), which), name))
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def verified(df: DataFrame, loose: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
+    """Star edges (a, b) over all pairs of a loose group (node, root) with this Jaccard similarity.
+
+    Shingle sets are made anew from the texts of the groups' members and meet by group; groups
+    beyond ``chunk`` shingles are dealt out as pairs of chunks.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                c = b.slice(at, 64)
+                sets = [shingle_set(t.as_py()) for t in c.column(2)]
+                shown = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([len(s) for s in sets], pa.int64()), shown], ["node", "root", "n", "shingles"])
+
+    def members(ids: DataFrame, which) -> DataFrame:
+        texts = df.where(which("doc_id")).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+        return texts.join(ids, "node").select("node", "root", "text").mapInArrow(make, "node long, root long, n long, shingles binary")
+
+    def solve(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
+        parent = exact_links([s for _, s in held], similarity) if len(held) > 1 else np.arange(len(held))
+        node = np.array([v for v, _ in held], np.int64)
+        linked = np.nonzero(parent != np.arange(len(held)))[0]
+        if len(linked):
+            return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[parent[linked]])], ["a", "b"])
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for b in batches:
+            for *key, node, shingles in zip(*(b.column(c).to_pylist() for c in range(4)), b.column(4)):
+                if key != group:
+                    if (out := solve(held)) is not None:
+                        yield out
+                    held, group = [], key
+                held.append((node, np.frombuffer(shingles.as_py(), np.uint64)))
+        if (out := solve(held)) is not None:
+            yield out
+
+    sets = durable(in_rounds(loose, "node", "simhash-set-round", members), "simhash-sets")
+    n = F.greatest(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
+    groups = durable(sets.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > chunk).select("root", n.alias("parts")), "simhash-set-hot")
+    if groups.isEmpty():
+        dealt = sets.select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "shingles")
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        c = F.pmod(F.xxhash64("node"), parts).cast("int")
+        dealt = sets.join(groups, "root", "left").select("root", "node", "shingles", c.alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        dealt = dealt.select("root", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), "node", "shingles")
+    dealt = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_components(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text) rows -> doc_id, component_id by similarity of five-word shingles.
+    """(doc_id, text) rows -> doc_id, component_id by Jaccard similarity of five-word shingle sets.
 
-    Documents that share one of eight least shingles meet (at similarity 0.8 all but 3 in a million
-    pairs do) and are compared by their 256-bit fingerprints.  Rows with a null id are left out.
+    Equal sets are one class, by a 128-bit digest.  Classes that share one of eight least shingles
+    meet (at similarity 0.8 all but 3 in a million pairs do); those within the loose radius form
+    groups, in which the exact similarity decides.  Rows with a null id are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t.as_py()) for t in b.column(1)]
+            sets = [shingle_set(t.as_py()) for t in b.column(1)]
+            found = [_sketch(s) for s in sets]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             w = np.stack([f for f, _ in found]).view(np.int64) if found else np.zeros((0, WIDE_WORDS), np.int64)
             k = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(w[:, j]) for j in range(WIDE_WORDS)), k], ["doc_id", *words, "keys"])
-
-    words = [f"w{j}" for j in range(WIDE_WORDS)]
-    schema = "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>"
-    rows = durable(df.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "simhash-wide")
-    classes = durable(rows.groupBy(*words).agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "simhash-wide-classes")
+            columns = [b.column(0).cast(pa.int64()), *(pa.array(digests[:, j]) for j in range(2)), *(pa.array(w[:, j]) for j in range(WIDE_WORDS)), k]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *digest, *words, "keys"])
+
+    digest, words = ["d0", "d1"], [f"w{j}" for j in range(WIDE_WORDS)]
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in digest + words) + ", keys array<long>"
+    df = df.where("doc_id is not null")
+    rows = durable(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "simhash-wide")
+    classes = rows.groupBy(*digest).agg(F.min("doc_id").alias("node"), *(F.first(w).alias(w) for w in words), F.min("keys").alias("keys"))
+    classes = durable(classes, "simhash-wide-classes")
     keyed = classes.select(F.posexplode("keys").alias("j", "k"), "node", *words).select(F.xxhash64("j", "k").alias("key"), "node", *words)
-    roots = components(meet(keyed, wide_radius(similarity)))
-    of = classes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select(*(F.col(w).alias(f"c_{w}") for w in words), F.coalesce("root", "node").alias("component_id"))
+    loose = components(meet(keyed, loose_radius(similarity)))
+    roots = components(verified(df, loose, similarity))
+    of = classes.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select(*(F.col(d).alias(f"c_{d}") for d in digest), F.coalesce("root", "node").alias("component_id"))
     of = durable(of, "simhash-wide-roots")
-    same = [F.col(w) == F.col(f"c_{w}") for w in words]
+    same = [F.col(d) == F.col(f"c_{d}") for d in digest]
     return rows.join(of, same).select("doc_id", "component_id")
 
 
@@ -306,9 +440,11 @@ def deduplicate(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     found = durable(similar_components(df, similarity), "simhash-found")
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
-    if copies.count() <= BROADCAST_COPIES:
-        copies = F.broadcast(copies)
-    kept = df.join(copies, "doc_id", "left_anti").select(*df.columns)
+
+    def keep(ids: DataFrame, which) -> DataFrame:
+        return df.where(which("doc_id")).join(ids, "doc_id", "left_anti").select(*df.columns)
+
+    kept = in_rounds(copies, "doc_id", "simhash-kept", keep)
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
