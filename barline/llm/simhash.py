@@ -247,6 +247,8 @@ KEY_MIX = np.random.default_rng(17).integers(1, 1 << 63, WIDE_KEYS, np.uint64) *
 WORD_MIX = np.random.default_rng(18).integers(1, 1 << 63, WIDE_WORDS, np.uint64)
 #: Shingles of one group that meet in one task; larger groups become pairs of chunks.
 SET_CHUNK = 4_000_000
+#: Groups up to this size compare all their fingerprints at once.
+SMALL_GROUP = 256
 
 
 def wide_radius(similarity: float) -> int:
@@ -318,7 +320,11 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """
     fps = np.stack([majority(s) for s in sets])
     n, parent = np.array([len(s) for s in sets]), np.arange(len(sets))
-    for i, j in close_pairs(fps, np.array([0]), np.array([len(sets)]), loose_radius(similarity)):
+    if len(sets) <= SMALL_GROUP:
+        pairs = [np.nonzero(np.tril(np.bitwise_count(fps[:, None] ^ fps).sum(2) <= loose_radius(similarity), -1))]
+    else:
+        pairs = close_pairs(fps, np.array([0]), np.array([len(sets)]), loose_radius(similarity))
+    for i, j in pairs:
         fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
         i, j = i[fit], j[fit]
         order = np.argsort(np.bitwise_count(fps[i] ^ fps[j]).sum(1), kind="stable")
