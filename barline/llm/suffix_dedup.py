@@ -4,31 +4,35 @@ Every 400-byte window has an anchor: its least hashed 32-byte gram, the leftmost
 windows have equal anchors, so windows meet by anchor and no other pair needs a look.  The windows
 of one anchor occurrence are a run of starts; the bytes they span are a segment.
 
-1. Segments are reduced to hashes (the anchor's and the segment's, 128 bits), combined within each
-   batch and counted by anchor.  A segment found twice is repeated as a whole.
-2. Where segments of one anchor differ, one of each kind is fetched, and a suffix array is built
-   over the segments of many anchors.  Runs of suffixes with a common prefix of 400 bytes whose left
-   neighbours differ are scanned with a stack; each common-prefix interval with diverse left
-   extension is a maximal repeat, reported with all its occurrences.
-3. Anchors with more than ``MAX_KINDS`` kinds are settled by counting hashes, so no group of them
-   meets in one task: blocks of ``BLOCK`` windows first, by the bytes that all windows of a block
-   hold, then the single windows of blocks whose common bytes are found twice.
-
-Bytes are covered by what was found in 1 to 3, judged on the input.  The text is shuffled by id
-once for 2 and the final cut.
+1. Segments are named by hashes (the anchor's and XXH3 of the bytes, 128 bits together), combined
+   within each batch and counted.  Segments of one name are one kind.  Rows of an anchor that is
+   ``hot`` are dealt out by the segment's hash too, so no task gets all of them.
+2. Of each kind that isn't alone two occurrences are fetched (one, if there is one), and a suffix
+   array is built over the segments of many anchors.  Runs of suffixes with a common prefix of 400
+   bytes whose left neighbours differ are scanned with a stack; each common-prefix interval with
+   diverse left extension is a maximal repeat with all its occurrences.  What is found in a kind's
+   first occurrence holds for the kind's others.  So a kind found twice, whole copies included, is
+   compared byte by byte between two of its occurrences; further ones rest on the 128 bits.
+3. Anchors with more than ``MAX_KINDS`` kinds don't meet in one task: their segments are taken apart
+   into blocks of ``BLOCK`` windows that meet by the bytes all windows of a block hold, and single
+   windows of blocks that meet another.  Two occurrences of each window found twice then go through
+   a suffix array of their own.
+
+Bytes are covered by what was found in 2 and 3, judged on the input.  The text is shuffled by id
+once to fetch segments and once for the final cut.
 
 Defined cases: null texts count as empty; texts under 400 bytes lose nothing; repeated rows, with
 or without equal ids, are documents of their own and lose what they share; an empty table gives an
-empty result.
+empty result.  Other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,36 +41,34 @@ from barline.llm.common import documents, durable
 LENGTH = 400
 GRAM = 32
 #: Kinds of segment of one anchor that meet in one suffix array.
-MAX_KINDS = 4_000
+MAX_KINDS = 600
 BLOCK = 16
-#: Segments of crowded anchors up to this count are broadcast (40 bytes each) to fetch their bytes.
-BROADCAST_SEGMENTS = 200_000
+#: An anchor is hot from this many rows on, or from this part of all rows: at most a million are.
+HOT_ROWS, HOT_PART, HOT_SAMPLE = 4_000, 1_000_000, 16
 #: Bytes of text that are hashed, and of segments that are sorted, at once.
 SLICE = 1 << 18
-SORTED = 1 << 20
+SORTED = 1 << 18
+#: A segment has at most as many windows as a window has grams.
+LONGEST = 2 * LENGTH - GRAM
 
 _rng = np.random.default_rng(20)
-BYTE = _rng.integers(0, 1 << 64, (2, 256), np.uint64)
-BASE = [int(b) | 5 for b in _rng.integers(1 << 32, 1 << 63, 2, np.uint64)]
+BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
+BASE = int(_rng.integers(1 << 32, 1 << 63, dtype=np.uint64)) | 5
 
 #: Low bits of a gram's hash that give way to its place, so that the leftmost of equals is least.
 PLACE = np.uint64((1 << 24) - 1)
 
 
 class Powers:
-    """Powers of the two bases and of their inverses modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64."""
 
     def __init__(self):
-        self.up, self.down = [np.ones(1, np.uint64)] * 2, [np.ones(1, np.uint64)] * 2
+        self.up = self.down = np.ones(1, np.uint64)
 
     def reach(self, n: int) -> None:
-        if len(self.up[0]) < n:
+        if len(self.up) < n:
             n = max(n, SLICE + 2 * LENGTH)
-            for k, b in enumerate(BASE):
-                for to, base in ((self.up, b), (self.down, pow(b, -1, 1 << 64))):
-                    run = np.full(n, base, np.uint64)
-                    run[0] = 1
-                    to[k] = np.cumprod(run)
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)))) for base in (BASE, pow(BASE, -1, 1 << 64)))
 
 
 POWERS = Powers()
@@ -81,18 +83,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes of all substrings of ``data`` from prefix sums."""
+    """Polynomial hashes of short substrings of ``data`` from prefix sums."""
 
     def __init__(self, data: np.ndarray):
         POWERS.reach(len(data) + 1)
-        self.sums = []
-        for k in range(2):
-            s = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(BYTE[k][data] * POWERS.up[k][: len(data)], out=s[1:])
-            self.sums.append(s)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE[data] * POWERS.up[: len(data)], out=self.sums[1:])
 
-    def of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][start]) * POWERS.down[k][start])
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * POWERS.down[start])
+
+
+def named(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of substrings."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -115,7 +120,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     h = Hashes(data)
     p = np.arange(len(data) - gram + 1)
-    g = h.of(0, p, p + gram)
+    g = h.of(p, p + gram)
     least = sliding_least((g & ~PLACE) | p.astype(np.uint64), length - gram + 1)
     anchor = (least & PLACE).astype(np.int64)
     i = np.arange(len(anchor))
@@ -124,10 +129,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     new = valid & np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]))
     first = np.nonzero(new)[0]
     last = np.nonzero(valid & np.concatenate((new[1:] | ~valid[1:], [True])))[0]
-    end = last + length
-    own = last - first + 1
-    shape = mix((own * 4096 + anchor[first] - first).astype(np.uint64))
-    return doc[first], first, own, g[anchor[first]], h.of(1, first, end) ^ shape
+    return doc[first], first, last - first + 1, g[anchor[first]], named(data.tobytes(), first, last + length)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -165,14 +167,16 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 class SuffixArray:
-    """Suffixes of ``parts`` in the order of their first 1,024 bytes, by prefix doubling."""
+    """Suffixes of ``parts`` that have ``length`` bytes or more within their part, in order, by prefix tripling."""
 
-    LEVELS = (8, 16, 32, 64, 128, 256, 512)
+    LEVELS = (8, 24, 72, 216)
 
-    def __init__(self, parts: list[bytes]):
+    def __init__(self, parts: list[bytes], length: int):
         self.data = np.frombuffer(b"".join(parts), np.uint8)
         n = len(self.data)
         size = np.array([len(p) for p in parts], np.int64)
+        if n >> 21 or size.max(initial=0) > LONGEST:
+            raise ValueError(f"a suffix array takes under 2 MB in parts of at most {LONGEST} bytes")
         self.part_end = np.cumsum(size)
         self.part = np.repeat(np.arange(len(parts)), size)
         self.left_of = self.part_end[self.part] - np.arange(n)  # bytes up to the part's end
@@ -180,28 +184,36 @@ class SuffixArray:
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = (key << np.uint64(8)) | wide[j : j + n]
-        self.ranks = []
+        at, self.ranks = np.arange(n), []
         for level in self.LEVELS:
             rank, _ = self._dense(key)
             self.ranks.append(np.concatenate((rank, np.zeros(1024, np.int32))))
-            key = (rank.astype(np.int64) << 32) | self.ranks[-1][level : level + n]
-        self.order = self._dense(key)[1]
+            if level == self.LEVELS[-1]:
+                at = np.nonzero(self.left_of >= length)[0]
+            key = self._three(self.ranks[-1], at, level)
+        rank, _ = self._dense(key)  # 648 bytes; the rank 216 bytes before the longest part's end does the rest
+        self.order = at[np.argsort((rank.astype(np.int64) << 32) | self.ranks[-1][at + LONGEST - 216])]
+
+    @staticmethod
+    def _three(rank: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        return (rank[at].astype(np.int64) << 42) | (rank[at + level].astype(np.int64) << 21) | rank[at + 2 * level]
 
     @staticmethod
     def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(len(key), np.int32)
-        rank[order] = 1 + np.concatenate(([0], np.cumsum(s[1:] != s[:-1], dtype=np.int32)))
+        rank[order] = 1 + np.concatenate(([0], np.cumsum(s[1:] != s[:-1], dtype=np.int32)))[: len(key)]
         return rank, order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix lengths of suffixes, within their parts, up to 1,023."""
+        """Common prefix lengths of suffixes, within their parts."""
         most = np.minimum(self.left_of[a], self.left_of[b])
         n = np.zeros(len(a), np.int64)
         top = len(self.data)
         for level, rank in zip(self.LEVELS[::-1], self.ranks[::-1]):
-            n += level * (rank[np.minimum(a + n, top)] == rank[np.minimum(b + n, top)])
+            for _ in range(3 if level == self.LEVELS[-1] else 2):
+                n += level * (rank[np.minimum(a + n, top)] == rank[np.minimum(b + n, top)])
         wide = np.concatenate((self.data, np.zeros(1024, np.uint8)))
         going = np.ones(len(a), bool)
         for _ in range(7):
@@ -215,8 +227,8 @@ def maximal_repeats(parts: list[bytes], length: int = LENGTH) -> Iterator[tuple[
 
     Repeats stay within a part; a part's start counts as a left extension of its own.
     """
-    sa = SuffixArray(parts)
-    s = sa.order[sa.left_of[sa.order] >= length]
+    sa = SuffixArray(parts, length)
+    s = sa.order
     if len(s) < 2:
         return
     shared = sa.common(s[:-1], s[1:])
@@ -276,30 +288,35 @@ def covered_runs(parts: list[bytes], length: int = LENGTH) -> list[tuple[int, in
     return list(zip(own.tolist(), (a - begins[own]).tolist(), (b - begins[own]).tolist()))
 
 
+FOUND = "anchor long, h long, rep int, id long, t long, start long, from long, to long"
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (anchor, id, t, start, bytes), sorted by anchor -> (id, t, from, to)."""
+    """mapInArrow: (group, anchor, h, rep, id, t, start, bytes), sorted by group -> what is covered, as ``FOUND``."""
     held: list[tuple] = []
     size, before = 0, None
+    schema = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32()}[f.split()[1]]) for f in FOUND.split(", ")])
 
     def solve():
-        found = covered_runs([h[3] for h in held])
-        out = [(held[p][0], held[p][1], held[p][2] + a, held[p][2] + b) for p, a, b in found]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["id", "t", "from", "to"])
+        found = covered_runs([h[-1] for h in held])
+        out = [(*held[p][1:-1], held[p][6] + a, held[p][6] + b) for p, a, b in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(schema), schema.types)], schema=schema)
 
     for b in batches:
-        for a, i, t, start, raw in zip(*(b.column(c).to_pylist() for c in range(5))):
-            if size >= SORTED and a != before:
+        for row in zip(*(b.column(c).to_pylist() for c in range(8))):
+            if size >= SORTED and row[0] != before:
                 yield solve()
                 held, size = [], 0
-            held.append((i, t, start, raw))
-            size += len(raw)
-            before = a
+            held.append(row)
+            size += len(row[-1])
+            before = row[0]
     if held:
         yield solve()
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: segment rows -> one row per (anchor, h) of a batch, with its number and first row."""
+    """mapInArrow: segment rows -> per (anchor, h) of a batch its first row with the number of all but
+    the last, and its last row."""
     for b in batches:
         cols = {n: b.column(n).to_numpy() for n in ("anchor", "h", "id", "t", "start", "own")}
         order = np.lexsort((cols["h"], cols["anchor"]))
@@ -307,64 +324,99 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (h[1:] != h[:-1]))) if len(a) else np.zeros(0, bool)
         first = np.nonzero(new)[0]
         n = np.diff(np.append(first, len(a)))
-        yield pa.RecordBatch.from_arrays([pa.array(c[order][first]) for c in cols.values()] + [pa.array(n)], [*cols, "n"])
+        last = (first + n - 1)[n > 1]
+        shown = np.concatenate((order[first], order[last]))
+        yield pa.RecordBatch.from_arrays([pa.array(c[shown]) for c in cols.values()] + [pa.array(np.concatenate((np.maximum(1, n - 1), np.ones(len(last), np.int64))))], [*cols, "n"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (anchor, id, t, start, bytes) -> a row per block: core, id, t, from, window hashes.
+    """mapInArrow: (n, id, t, start, bytes) -> a row per block: core, n, id, t, start, from, window hashes.
 
     Blocks are cut at fixed distances from the anchor, so equal windows lie in equal blocks; ``core``
     hashes the bytes that all windows of a full block share.
     """
     for b in batches:
         out = []
-        for _, i, t, start, raw in zip(*(b.column(c).to_pylist() for c in range(5))):
+        for count, i, t, start, raw in zip(*(b.column(c).to_pylist() for c in range(5))):
             h = Hashes(np.frombuffer(raw, np.uint8))
             p = np.arange(len(raw) - LENGTH + 1)
-            w = h.of(0, p, p + LENGTH).view(np.int64)
+            w = named(raw, p, p + LENGTH).view(np.int64)
             q = np.arange(LENGTH - GRAM + 1)
-            anchor = int(((h.of(0, q, q + GRAM) & ~PLACE) | q.astype(np.uint64)).argmin())
+            anchor = int(((h.of(q, q + GRAM) & ~PLACE) | q.astype(np.uint64)).argmin())
             near = np.arange((anchor - len(p) + 1) // BLOCK if anchor >= len(p) - 1 else 0, anchor // BLOCK + 1) * BLOCK
-            cores = h.of(1, anchor - near, anchor - near + LENGTH - BLOCK + 1).view(np.int64)
-            for n, core in zip(near.tolist(), cores.tolist()):
-                lo, hi = max(0, anchor - n - BLOCK + 1), min(len(p), anchor - n + 1)
-                out.append((core, i, t, start + lo, w[lo:hi]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["core", "id", "t", "from", "w"])
+            lo, hi = np.maximum(0, anchor - near), np.minimum(len(raw), anchor - near + LENGTH - BLOCK + 1)
+            cores = named(raw, lo, hi).view(np.int64)
+            for d, core in zip(near.tolist(), cores.tolist()):
+                lo, hi = max(0, anchor - d - BLOCK + 1), min(len(p), anchor - d + 1)
+                out.append((core, count, i, t, start, start + lo, w[lo:hi]))
+        kinds = [*[pa.int64()] * 6, pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], ["core", "n", "id", "t", "start", "from", "w"])
 
 
 def hot_coverage(segs: DataFrame) -> DataFrame:
-    """(anchor, id, t, start, raw) -> (id, t, from, to) of windows found twice, by hashes alone."""
-    blocks = durable(segs.mapInArrow(_blocks, "core long, id long, t long, from long, w array<long>"), "suffix-blocks")
+    """(n, id, t, start, raw), a row per kind -> (id, t, from, to): windows found twice, of kinds with n = 1."""
+    segs = durable(segs, "suffix-hot")
+    blocks = segs.select("n", "id", "t", "start", "raw").mapInArrow(_blocks, "core long, n long, id long, t long, start long, from long, w array<long>")
+    blocks = durable(blocks, "suffix-blocks")
     twice = blocks.groupBy("core").count().where("count > 1").select("core")
-    open_ = durable(blocks.join(twice, "core", "left_semi").select("core", "id", "t", "from", F.posexplode("w").alias("k", "w")), "suffix-windows")
-    found = open_.groupBy("core", "w").count().where("count > 1").select("core", "w")
-    start = F.col("from") + F.col("k")
-    return open_.join(found, ["core", "w"], "left_semi").select("id", "t", start.alias("from"), (start + LENGTH).alias("to"))
+    open_ = blocks.join(twice, "core", "left_semi").select("core", "n", "id", "t", "start", "from", F.posexplode("w").alias("k", "w"))
+    open_ = durable(open_.withColumn("from", F.col("from") + F.col("k")).drop("k"), "suffix-windows")
+    place = F.struct("id", "t", "start", "from")
+    found = open_.groupBy("core", "w").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two")).where("c > 1")
+    reps = found.select(F.col("core").alias("anchor"), F.col("w").alias("h"), F.posexplode(F.array("one", "two")).alias("rep", "p")).select("anchor", "h", "rep", "p.*")
+    raw = F.substring("raw", (F.col("from") - F.col("start") + 1).cast("int"), F.lit(LENGTH))
+    fetched = segs.select("id", "t", "start", "raw").join(reps, ["id", "t", "start"]).select("anchor", "h", "rep", "id", "t", F.col("from").alias("start"), raw.alias("raw"))
+    sure = fetched.repartition("anchor", "h").sortWithinPartitions("anchor", "h").select("h", *fetched.columns).mapInArrow(_compare, FOUND).where("rep = 0").select(F.col("anchor").alias("core"), F.col("h").alias("w")).distinct()
+    return open_.where("n = 1").join(durable(sure, "suffix-sure"), ["core", "w"], "left_semi").select("id", "t", "from", (F.col("from") + LENGTH).alias("to"))
+
+
+def hot_anchors(found: DataFrame) -> DataFrame:
+    """Anchors with many rows, about a million at most, so they may be broadcast at any size.
+
+    They are told by one row in ``HOT_SAMPLE``; only the dealing depends on them, never the result.
+    """
+    most = max(HOT_ROWS, found.count() // HOT_PART) / HOT_SAMPLE
+    counts = found.select(F.col("anchor").alias("a")).sample(False, 1 / HOT_SAMPLE, 5).groupBy("a").count()
+    return durable(counts.where(F.col("count") > most).select("a"), "suffix-hot-anchors")
 
 
-def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS) -> DataFrame:
-    """(id, t, text) -> (id, t, from, to): byte ranges that hold a string found elsewhere."""
+def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS, unique: bool = False) -> DataFrame:
+    """(id, t, text) -> (id, t, from, to): byte ranges that hold a string found elsewhere.
+
+    ``unique`` tells that no two rows share id and t.
+    """
     key = ["anchor", "h"]
     found = durable(anchors(docs), "suffix-anchors")
-    rows = found.mapInArrow(_combine, "anchor long, h long, id long, t long, start long, own long, n long").repartition("anchor")
-    kinds = rows.groupBy(*key).agg(F.sum("n").alias("n"), F.min(F.struct("id", "t", "start", "own")).alias("one"))
-    kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1 or kinds > 1")
+    hot = hot_anchors(found)
+    rows = found.mapInArrow(_combine, "anchor long, h long, id long, t long, start long, own long, n long")
+    rows = rows.join(F.broadcast(hot), rows["anchor"] == hot["a"], "left").withColumn("salt", F.when(F.col("a").isNotNull(), F.col("h").bitwiseOR(F.lit(1))).otherwise(0)).drop("a")
+    place = F.struct("id", "t", "start", "own")
+    kinds = rows.repartition("anchor", "salt").groupBy("anchor", "salt", "h").agg(F.sum("n").alias("n"), F.min(place).alias("one"), F.max(place).alias("two"))
+    kinds = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor", "salt"))).where("n > 1 or kinds > 1 or salt <> 0")
     kinds = durable(kinds, "suffix-kinds")
-    to = (F.col("start") + F.col("own") + (LENGTH - 1)).alias("to")
-    whole = found.join(kinds.where("n > 1").select(*key), key, "left_semi").select("id", "t", F.col("start").alias("from"), to)
-    mixed = kinds.where("kinds > 1").select("anchor", "kinds", "one.*")
+    of_hot = kinds.where("salt <> 0").groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("of_hot"))
+    kinds = kinds.join(F.broadcast(durable(of_hot, "suffix-hot-kinds")), F.col("anchor") == F.col("a"), "left").withColumn("kinds", F.coalesce("of_hot", "kinds"))
+    kinds = kinds.where("n > 1 or kinds > 1").withColumn("many", F.col("kinds") > max_kinds)
+    # a kind with one occurrence is its own place (rep -1); else two stand for it (0 and 1)
+    reps = F.when(F.col("n") == 1, F.array(F.struct(F.lit(-1).alias("rep"), F.col("one").alias("p")))).otherwise(F.array(F.struct(F.lit(0).alias("rep"), F.col("one").alias("p")), F.struct(F.lit(1).alias("rep"), F.col("two").alias("p"))))
+    wanted = kinds.select(*key, "many", F.explode(reps).alias("r")).select(*key, "many", "r.rep", "r.p.*")
     bare = docs.select(F.col("id").alias("i2"), F.col("t").alias("t2"), "text")
-
-    def fetched(wanted: DataFrame) -> DataFrame:
-        rows = bare.join(wanted, (F.col("i2") == F.col("id")) & (F.col("t2") == F.col("t")))
-        raw = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int"))
-        return rows.select("anchor", "id", "t", "start", raw.alias("raw"))
-
-    few, many = (mixed.where(c).drop("kinds") for c in (F.col("kinds") <= max_kinds, F.col("kinds") > max_kinds))
-    out = whole.union(fetched(few).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "id long, t long, from long, to long"))
-    if n := many.count():
-        out = out.union(hot_coverage(fetched(F.broadcast(many) if n <= BROADCAST_SEGMENTS else many)))
+    bare = bare if unique else bare.dropDuplicates(["i2", "t2"])
+    raw = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int"))
+    segs = bare.join(wanted, (F.col("i2") == F.col("id")) & (F.col("t2") == F.col("t"))).select(*key, "many", "rep", "id", "t", "start", raw.alias("raw"))
+    some_many = not kinds.where("many").isEmpty()
+    if some_many:
+        segs = durable(segs, "suffix-segments")
+    # of a crowded anchor only the occurrences of one kind meet here
+    meet = segs.where("not many or rep >= 0").withColumn("side", F.when(F.col("many"), F.col("h")).otherwise(0))
+    same = meet.repartition("anchor", "side").sortWithinPartitions("anchor", "side").select(F.when(F.col("many"), F.col("side")).otherwise(F.col("anchor")), *key, "rep", "id", "t", "start", "raw").mapInArrow(_compare, FOUND)
+    same = durable(same, "suffix-found")
+    alone = same.where("rep = -1").select("id", "t", "from", "to")
+    spread = same.where("rep = 0").select(*key, (F.col("from") - F.col("start")).alias("lo"), (F.col("to") - F.col("start")).alias("hi"))
+    out = alone.union(found.join(spread, key).select("id", "t", (F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi")).alias("to")))
+    if some_many:
+        n = F.when(F.col("rep") == -1, 1).otherwise(2).cast("long")
+        out = out.union(hot_coverage(segs.where("many and rep <= 0").select(n.alias("n"), "id", "t", "start", "raw")))
     return out
 
 
@@ -384,38 +436,37 @@ def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def prepared(df: DataFrame) -> DataFrame:
-    """(id, t, text): rows of one id and t have one text; t is a hash only where ids repeat or are null."""
+def prepared(df: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, t, text), and whether ids are unique: else t is a hash of the text, so rows of one id and t are equal."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = F.col("doc_id").cast("long")
     unique = df.groupBy(ids.alias("i")).count().where("i is null or count > 1").isEmpty()
     t = F.lit(0).cast("long") if unique else F.xxhash64(text)
-    return df.select(F.coalesce(ids, F.lit(-(1 << 63))).alias("id"), t.alias("t"), text.alias("text"))
+    return df.select(F.coalesce(ids, F.lit(-(1 << 63))).alias("id"), t.alias("t"), text.alias("text")), unique
 
 
 def remove_repeats(df: DataFrame, max_kinds: int = MAX_KINDS) -> DataFrame:
     """(doc_id, text) -> doc_id, kept (binary), n_bytes, n_removed, n_spans."""
-    return _cut_all(df, max_kinds, "kept binary", lambda k: k, pa.binary())
-
-
-def _cut_all(df, max_kinds, kept_type, shown, kind):
-    docs = prepared(df)
-    cover = coverage(docs, max_kinds).groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges"))
+    docs, unique = prepared(df)
+    cover = coverage(docs, max_kinds, unique).groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges"))
     joined = docs.join(cover, ["id", "t"], "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, text, ranges in zip(*(b.column(c).to_pylist() for c in range(3))):
-                raw = text.encode("utf-8", "surrogatepass")
-                kept, removed, runs = cut(raw, [(r["from"], r["to"]) for r in ranges or []])
-                out.append((None if i == -(1 << 63) else i, shown(kept), len(raw), removed, runs))
-            kinds = [pa.int64(), kind, pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            for at in range(0, b.num_rows, 64):
+                out = []
+                for i, text, ranges in zip(*(b.column(c).slice(at, 64).to_pylist() for c in range(3))):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    kept, removed, runs = cut(raw, [(r["from"], r["to"]) for r in ranges or []])
+                    out.append((None if i == -(1 << 63) else i, kept, len(raw), removed, runs))
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, f"doc_id long, {kept_type}, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut_docs = _cut_all(documents(spark, sf_dir), MAX_KINDS, "kept string", lambda k: hashlib.sha256(k).hexdigest(), pa.string())
-    return cut_docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    """The contract's columns, and ``text``: what is left, with bytes that a cut took apart as U+FFFD."""
+    left = remove_repeats(documents(spark, sf_dir))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

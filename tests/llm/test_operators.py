@@ -295,17 +295,43 @@ def test_maximal_repeats_report_all_occurrences():
     assert (11, (2, 15)) in found and (10, (2, 15, 29)) in found
 
 
-@pytest.mark.parametrize("max_kinds", [suffix_dedup.MAX_KINDS, 1])
-def test_removal_by_brute_force(spark, docs, max_kinds):
+@pytest.mark.parametrize("max_kinds", [suffix_dedup.MAX_KINDS, 3, 1])
+def test_removal_by_brute_force(spark, docs, max_kinds, monkeypatch):
+    if max_kinds < 4:  # hot anchors too
+        monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 0)
+        monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
     rng = random.Random(6)
     passage = "".join(rng.choices("abcdefgh ", k=700))
     texts = [*docs["text"][:120], *(f"{k} {passage} {k}" * (1 + k % 2) for k in range(8)), passage[:399], passage[:400], "ha " * 400, "", "é" * 300, "é" * 300]
     raw = [t.encode() for t in texts]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, max_kinds).collect()}
-    for i, (t, on) in enumerate(zip(raw, brute_repeats(raw, 400))):
+    ids = [*range(len(texts) - 2), 0, None]
+    df = spark.createDataFrame(list(zip(range(len(texts)) if max_kinds == 3 else ids, texts)), "doc_id long, text string")
+    got = collections.Counter((bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df, max_kinds).collect())
+    want = []
+    for t, on in zip(raw, brute_repeats(raw, 400)):
         runs = int(on[:1].sum() + (on[1:] & ~on[:-1]).sum())
-        assert bytes(got[i]["kept"]) == bytes(np.frombuffer(t, np.uint8)[~on]) and (got[i]["n_removed"], got[i]["n_spans"]) == (int(on.sum()), runs)
+        want.append((bytes(np.frombuffer(t, np.uint8)[~on]), len(t), int(on.sum()), runs))
+    assert got == collections.Counter(want)
+
+
+def test_whole_suffix_query_by_brute_force(spark):
+    """All documents of sf0.01: every 400-byte string is counted by its SHA-256."""
+    d = "/root/testdata/sf0.01"
+    raw = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    digest = lambda t, i: hashlib.sha256(t[i : i + 400]).digest()[:12]
+    seen = collections.Counter(digest(t, i) for t in raw.values() for i in range(len(t) - 399))
+    for r in suffix_dedup.query(spark, d).collect():
+        t = raw[r["doc_id"]]
+        edge = np.zeros(len(t) + 401, np.int64)
+        for i in range(len(t) - 399):
+            if seen[digest(t, i)] > 1:
+                edge[i] += 1
+                edge[i + 400] -= 1
+        on = np.cumsum(edge)[: len(t)] > 0
+        kept = bytes(np.frombuffer(t, np.uint8)[~on])
+        runs = int(on[:1].sum() + (on[1:] & ~on[:-1]).sum())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), int(on.sum()), runs, hashlib.sha256(kept).hexdigest())
+        assert r["text"].encode().replace("�".encode(), b"") == kept.decode("utf-8", "ignore").replace("�", "").encode()
 
 
 # 8: SentencePiece
