@@ -1,23 +1,29 @@
 """Language identification by cross-parsing entropy.
 
-Each language's labelled sample becomes a suffix automaton, filled up to a table in which a symbol
-without a transition ends the current phrase and starts the next at the root.  A text is parsed
-greedily into longest matches by every table; phrases times log2 of the sample's length are the
-bits it takes, and the language with the fewest bits wins (ties: the first by code point).  Texts
-are parsed in blocks of ``BLOCK`` symbols, each from the root, so that all blocks of a batch step
-together in NumPy and one long text is as quick as many short ones.
-
-Letters are lower-cased; a run of anything else is one blank.  The ``LETTERS`` commonest letters of
-the samples are symbols of their own, all others share ``SHARED`` symbols by code point.
-
-Bounds: per language at most ``SAMPLE_DOCS`` labelled documents, chosen by hash of the id, with a
-slice of at most ``SLICE_CHARS`` each; all languages together at most ``SAMPLE_CHARS``.  Prediction
-reads whole texts.  The samples, not the tables, are sent to the workers.
+Each language's labelled sample becomes a suffix automaton.  A text is cut greedily, from its start
+to its end, into the longest phrases that each automaton holds; phrases times log2 of the sample's
+length are the bits it takes, and the language with the fewest bits wins (ties: the first by code
+point).  Letters are lower-cased; a run of anything else is one blank.  Every letter is a symbol of
+its own; a letter that a sample lacks is a phrase by itself in that language.
+
+The transitions of an automaton lie displaced over each other in one table (a state is its offset,
+a cell names its owner), so memory follows the transitions, not states times letters.
+
+Texts are parsed in blocks side by side, so that NumPy steps many symbols at once.  Each block is
+first parsed as if a phrase began with it.  Then the state in which the block before ends is carried
+into it, and the parse is repaired from there until a phrase begins where one is known to begin;
+blocks are repaired anew while the state carried into them changes.  The outcome is the one parse
+of the whole text.
+
+Bounds: per language at most ``SAMPLE_DOCS`` labelled documents, in the order of a hash of the id,
+each whole, as long as they add up to ``SAMPLE_CHARS`` characters for all languages together (a
+longer one is passed over; if none fits, the shortest is taken).  Prediction reads whole texts.
+The samples, not the tables, are sent to the workers.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter, and for all texts if
 no labelled row can be learned from; repeated rows get equal predictions; an empty table gives an
-empty result.  A row with a null
-id is not learned from and not held out.
+empty result.  A row with a null id is not learned from and not held out.  Other columns of the
+input don't matter.
 """
 
 from __future__ import annotations
@@ -27,18 +33,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm.common import documents
 
-SAMPLE_DOCS = 120
-SLICE_CHARS = 250
-SAMPLE_CHARS = 2_000_000
-LETTERS = 80
-SHARED = 8
+SAMPLE_DOCS = 60
+SAMPLE_CHARS = 400_000
+#: Symbols of a block, and of the texts that are parsed at once (but for a longer text, which is parsed alone).
 BLOCK = 256
-BLANK, PAD, CUT = 0, 1, 2
+AT_ONCE = 1 << 20
+#: Blocks that are repaired one by one.
+FEW = 16
+#: Above the offset of any state.
+OWNED_INT = 1 << 32
+OWNED = np.uint64(OWNED_INT)
+BLANK, ABSENT = 0, 1
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -58,24 +68,28 @@ def code_points(text: str) -> np.ndarray:
     return cp[np.concatenate(([True], (cp[1:] != 0) | (cp[:-1] != 0)))] if len(cp) else cp
 
 
-def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton of all substrings; ``CUT`` symbols are never crossed."""
+def suffix_automaton(texts: list[list[int]]) -> list[dict[int, int]]:
+    """Transitions of the automaton of all substrings of ``texts``; none runs from one text into the next."""
     go: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in symbols:
-        cur = len(go)
-        go.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = cur
-            p = link[p]
-        if p >= 0:
+    link, length = [-1], [0]
+    for text in texts:
+        last = 0
+        for c in text:
+            known = c in go[last]  # then the string so far is in an earlier text
+            p, cur = last, last
+            if not known:
+                cur = len(go)
+                go.append({})
+                link.append(0)
+                length.append(length[last] + 1)
+                while p >= 0 and c not in go[p]:
+                    go[p][c] = cur
+                    p = link[p]
+            if p < 0:
+                last = cur
+                continue
             q = go[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
+            if length[p] + 1 != length[q]:
                 twin = len(go)
                 go.append(dict(go[q]))
                 link.append(link[q])
@@ -83,74 +97,212 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
                 while p >= 0 and go[p].get(c) == q:
                     go[p][c] = twin
                     p = link[p]
-                link[q] = link[cur] = twin
-        last = cur
+                link[q] = twin
+                q = twin
+            if not known:
+                link[cur] = q
+            last = q if known else cur
     return go
 
 
+def displaced(go: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """One table of the transitions: the cell at (offset of a state) + symbol holds owner << 32 | offset of the next state.
+
+    States have different offsets, the root 0.  Empty cells and the root's have no owner, so a step
+    that isn't owned begins a phrase; the second array tells the state after a phrase's first symbol.
+    """
+    fan = np.fromiter(map(len, go), np.int64, len(go))
+    size = int(fan.sum() + 2 * len(go) + 4 * width)
+    taken, based = bytearray(size), bytearray(size)  # cells and offsets in use
+    offset = np.zeros(len(go), np.int64)
+    low = 1
+    for s in [0, *(1 + np.argsort(-fan[1:], kind="stable")).tolist()]:
+        symbols = list(go[s])
+        if len(symbols) < 2 and s:
+            break
+        at, tries = (low, 0) if s else (0, 0)
+        while based[at] or any(taken[at + c] for c in symbols):
+            at, tries = at + 1, tries + 1
+            if at + 2 * width > len(taken):
+                taken.extend(bytes(len(taken)))
+                based.extend(bytes(len(based)))
+        if tries > 40:
+            low = at
+        based[at] = 1
+        for c in symbols:
+            taken[at + c] = 1
+        offset[s] = at
+    # states with one transition or none go to the places left, all of a symbol at once
+    only = np.fromiter((next(iter(g)) if len(g) == 1 else -1 for g in go), np.int64, len(go))
+    only[0] = -2
+    cells, places = np.frombuffer(taken, np.uint8).copy(), np.frombuffer(based, np.uint8).copy()
+    for c in [*np.unique(only[only >= 0]).tolist(), -1]:
+        who = np.nonzero((only == c) & (fan == (c >= 0)))[0]
+        free = places[: len(places) - width] == 0
+        if c >= 0:
+            free &= cells[c : c + len(free)] == 0
+        at = np.nonzero(free)[0][: len(who)]
+        if len(at) < len(who):
+            more = np.arange(len(who) - len(at)) + len(places)
+            at = np.concatenate((at, more))
+            cells, places = (np.concatenate((x, np.zeros(len(more) + width, np.uint8))) for x in (cells, places))
+        places[at] = 1
+        if c >= 0:
+            cells[at + c] = 1
+        offset[who] = at
+    table = np.full(int(offset.max()) + width, -1, np.int64)
+    fan[0] = 0
+    owner = np.repeat(np.arange(len(go)), fan)
+    symbol = np.fromiter((c for g in go[1:] for c in g), np.int64, len(owner))
+    to = np.fromiter((t for g in go[1:] for t in g.values()), np.int64, len(owner))
+    table[offset[owner] + symbol] = (offset[owner] << 32) | offset[to]
+    fresh = np.zeros(width, np.int64)
+    for c, t in go[0].items():
+        fresh[c] = offset[t]
+    return table, fresh
+
+
 class CrossParser:
     def __init__(self, samples: dict[str, tuple[str, ...]]):
         self.langs = sorted(samples)
-        points = {k: [code_points(s) for s in samples[k]] for k in self.langs}
-        seen, n = np.unique(np.concatenate([np.zeros(1, np.uint32), *(p for ps in points.values() for p in ps)]), return_counts=True)
-        common = sorted(zip(-n[seen != 0], seen[seen != 0]))[:LETTERS]
-        self.width = 3 + SHARED + len(common)
-        self.symbol = (3 + np.arange(0x110000) % SHARED).astype(np.uint8)
-        self.symbol[0] = BLANK
-        for i, (_, c) in enumerate(common):
-            self.symbol[c] = 3 + SHARED + i
-        self.tables, self.bits = [], []
+        self.symbol, self.tables, self.bits = [], [], []
         for k in self.langs:
-            text = [x for p in points[k] for x in (CUT, *self.symbol[p].tolist())]
-            self.tables.append(self._table(suffix_automaton(text)))
-            self.bits.append(np.log2(max(2, len(text))))
-
-    def _table(self, go: list[dict[int, int]]) -> np.ndarray:
-        """Entry: (row of the next state) * 4 + phrases that end here."""
-        w = self.width
-        for g in go:
-            g.pop(CUT, None)
-        root = np.array([go[0].get(c, 0) for c in range(w)]) * w * 4
-        fresh = root + (root == 0)  # a symbol the sample lacks is a phrase of its own
-        t = np.tile(fresh + 1, (len(go), 1))
-        t[0] = fresh
-        for s, g in enumerate(go):
-            for c, to in g.items():
-                t[s, c] = to * w * 4
-        t[:, PAD] = np.arange(len(go)) * w * 4
-        return t.astype(np.int32).ravel()
-
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """(BLOCK, n) symbols -> (languages, n) phrase counts."""
-        blocks = blocks.astype(np.int32)
-        out = np.zeros((len(self.langs), blocks.shape[1]), np.int64)
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(blocks.shape[1], np.int32), np.zeros(blocks.shape[1], np.int32)
-            for row in blocks:
-                v = table[state + row]
-                count += v & 3
-                state = v >> 2
-            out[k] = count + (state > 0)
+            points = [code_points(s) for s in samples[k]]
+            seen = np.unique(np.concatenate([np.zeros(1, np.uint32), *points]))
+            symbol = np.full(0x110000, ABSENT, np.int32)
+            symbol[seen[1:]] = np.arange(2, 1 + len(seen))
+            symbol[0] = BLANK
+            self.symbol.append(symbol)
+            self.tables.append(displaced(suffix_automaton([symbol[p].tolist() for p in points]), 2 + len(seen)))
+            self.bits.append(np.log2(max(2, sum(map(len, points)))))
+
+    def phrases(self, k: int, points: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
+        """Phrases of each text in language ``k``; text i ends before ``ends[i]``."""
+        (table, fresh), text = self.tables[k], self.symbol[k].take(points)
+        begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        per = -(-(ends - begins) // block)
+        owner = np.repeat(np.arange(len(ends)), per)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        first = begins[owner] + block * nth
+        size = np.minimum(block, ends[owner] - first)
+
+        # every block from the root, the longest first
+        order = np.argsort(-size, kind="stable")
+        at, sized, state = first[order], -size[order], np.zeros(len(order), np.int64)
+        new, leave = np.zeros((block, len(order)), bool), np.zeros(len(order), np.int64)
+        for t in range(block):
+            m = int(np.searchsorted(sized, -t))
+            if m < len(state):
+                leave[order[m : len(state)]] = state[m:]
+                state = state[:m]
+            if not m:
+                break
+            c = text.take(at[:m] + t)
+            cell = table.take(state + c) ^ (state << 32)
+            hit = cell.view(np.uint64) < OWNED
+            new[t, :m] = ~hit
+            state = np.where(hit, cell, fresh.take(c))
+        leave[order[: len(state)]] = state
+        known = np.empty_like(new.T)
+        known[order] = new.T
+        later = known.sum(1)  # phrases of a block once the parse agrees with that from the root
+        own, extra, enter = leave.copy(), np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+
+        todo = np.nonzero(nth > 0)[0]
+        enter[todo] = leave[todo - 1]
+        while len(todo):
+            if len(todo) < FEW:
+                self._mend(todo.tolist(), table, fresh, text, known, nth, first, size, own, leave, enter, later, extra)
+                break
+            now = own[todo]
+            extra[todo] = 0
+            later[todo] = known[todo].sum(1)
+            who = np.nonzero(enter[todo] > 0)[0]
+            lane, state = todo[who], enter[todo[who]]
+            at, to = first[lane], size[lane]
+            passed = np.zeros(len(lane), np.int64)
+            t = 0
+            while len(lane):
+                c = text.take(at + t)
+                cell = table.take(state + c) ^ (state << 32)
+                hit = cell.view(np.uint64) < OWNED
+                there = known[lane, t]
+                met = ~hit & there
+                passed += there
+                extra[lane] += ~hit & ~met
+                state = np.where(hit, cell, fresh.take(c))
+                t += 1
+                over = met | (to == t)
+                if over.any():
+                    end = over & ~met
+                    now[who[end]] = state[end]
+                    later[lane[over]] -= passed[over] - met[over]
+                    keep = ~over
+                    lane, who, state, at, to, passed = (x[keep] for x in (lane, who, state, at, to, passed))
+            moved = todo[now != leave[todo]] + 1
+            leave[todo] = now
+            todo = moved[moved < len(nth)]
+            todo = todo[nth[todo] > 0]
+            enter[todo] = leave[todo - 1]
+        return np.bincount(owner, later + extra, len(ends)).astype(np.int64)
+
+    @staticmethod
+    def _mend(todo, table, fresh, text, known, nth, first, size, own, leave, enter, later, extra) -> None:
+        """Repairs few blocks one after the other, each as far as the change reaches."""
+        cells, roots, symbols = memoryview(table), memoryview(fresh), memoryview(text)
+        done = -1
+        for b in todo:
+            while b > done:
+                at, state, own_starts = int(first[b]), int(enter[b]), known[b].tolist()
+                now, extra[b], later[b], done = own[b], 0, sum(own_starts), b
+                if state:
+                    count, passed = 0, 0
+                    for t in range(int(size[b])):
+                        c = symbols[at + t]
+                        cell = cells[state + c]
+                        if cell >> 32 == state:
+                            state = cell & (OWNED_INT - 1)
+                        else:
+                            if own_starts[t]:
+                                break
+                            state = roots[c]
+                            count += 1
+                        passed += own_starts[t]
+                    else:
+                        now = state
+                    extra[b] = count
+                    later[b] -= passed
+                moved = now != leave[b]
+                leave[b] = now
+                b += 1
+                if not moved or b == len(nth) or not nth[b]:
+                    break
+                enter[b] = now
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        points = [code_points(t or "") for t in texts]
+        has = [bool((p != 0).any()) for p in points]
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        held: list[int] = []
+        size = 0
+        for i, h in enumerate(has):
+            if h:
+                held.append(i)
+                size += len(points[i])
+            if held and (size >= AT_ONCE or i == len(has) - 1):
+                self._solve(held, [points[j] for j in held], out)
+                held, size = [], 0
+        if held:
+            self._solve(held, [points[j] for j in held], out)
         return out
 
-    def predict(self, texts: list[str | None], at_once: int = 4096) -> list[tuple[str, float]]:
-        symbols = [self.symbol[code_points(t or "")] for t in texts]
-        has = [bool((s != BLANK).any()) for s in symbols]
-        n_blocks = np.array([-(-len(s) // BLOCK) if h else 0 for s, h in zip(symbols, has)], np.int64)
-        first = np.concatenate(([0], np.cumsum(n_blocks)))
-        flat = np.full(first[-1] * BLOCK, PAD, np.uint8)
-        for s, f, h in zip(symbols, first, has):
-            if h:
-                flat[f * BLOCK : f * BLOCK + len(s)] = s
-        flat = flat.reshape(-1, BLOCK)
-        total = np.zeros((len(self.langs), len(flat) + 1), np.int64)
-        for at in range(0, len(flat), at_once):
-            total[:, at + 1 : at + 1 + at_once] = self.phrases(np.ascontiguousarray(flat[at : at + at_once].T))
-        total = np.cumsum(total, 1)
-        bits = (total[:, first[1:]] - total[:, first[:-1]]) * np.array(self.bits)[:, None]
+    def _solve(self, at: list[int], points: list[np.ndarray], out: list) -> None:
+        flat, ends = np.concatenate(points), np.cumsum([len(p) for p in points])
+        bits = np.stack([self.phrases(k, flat, ends) * self.bits[k] for k in range(len(self.langs))])
         best = bits.argmin(0)
         score = 1 / np.exp2(-np.minimum(bits - bits.min(0), 1000)).sum(0)
-        return [(self.langs[b], float(s)) if h else ("und", 0.0) for b, s, h in zip(best, score, has)]
+        for i, b, s in zip(at, best, score):
+            out[i] = (self.langs[b], float(s))
 
 
 @lru_cache(2)
@@ -159,20 +311,25 @@ def _parser(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> CrossParser:
 
 
 def labelled_samples(df: DataFrame, learn: Column) -> dict[str, tuple[str, ...]]:
-    """Bounded slices of texts per language; ``learn`` says which rows may be used."""
-    rows = df.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    """Whole texts per language within the bounds; ``learn`` says which rows may be used."""
+    rows = df.where(learn & F.col("lang").isNotNull()).withColumn("draw", F.xxhash64("doc_id"))
+    langs = rows.agg(F.countDistinct("lang")).first()[0]
+    if not langs:
         return {}
-    chars = max(20, min(SLICE_CHARS, SAMPLE_CHARS // (len(counts) * SAMPLE_DOCS)))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * SAMPLE_DOCS / n + 20.0 / n))))
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))
-    near = rows.withColumn("__draw", draw).where(F.col("__draw") < F.element_at(share, F.col("lang")) * float(1 << 40))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
-    slices: dict[str, list[tuple]] = {}
-    for r in near.select("lang", "__draw", F.substring("text", start, F.lit(chars)).alias("slice")).collect():
-        slices.setdefault(r["lang"], []).append((r["__draw"], r["slice"]))
-    return {k: tuple(s for _, s in sorted(v)[:SAMPLE_DOCS]) for k, v in slices.items()}
+    most = SAMPLE_CHARS // langs
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("n", F.length("text"))
+    # those that fit come first, by the draw, then the others, the shortest first
+    place = [F.col("n") > most, F.when(F.col("n") > most, F.col("n")), "draw"]
+    best = rows.select("lang", "draw", "n").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*place)))
+    best = best.where(F.col("k") <= SAMPLE_DOCS).select("lang", "draw").distinct()
+    # ids may repeat, so the rows are ranked once more
+    near = rows.join(F.broadcast(best), ["lang", "draw"]).select("lang", "draw", "n", "text")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*place, "text"))).where(F.col("k") <= SAMPLE_DOCS)
+    near = near.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("k"))).where((F.col("k") == 1) | (F.col("sum") <= most))
+    out: dict[str, list[str]] = {}
+    for r in near.select("lang", "text").orderBy("lang", "k").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {k: tuple(v) for k, v in out.items()}
 
 
 def identify(df: DataFrame, samples: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -441,26 +441,67 @@ def test_one_document_of_each_group_stays(spark):
 # 10: language
 
 
-def test_phrases_by_greedy_parsing():
-    samples = {"a": ("the cat sat on the mat", "a dog"), "b": ("el gato se sienta",)}
+def greedy(samples, text):
+    """Phrases by trying ever longer strings."""
+    hay = ["".join(chr(c) for c in language.code_points(s)) for s in samples]
+    sym, n, at = "".join(chr(c) for c in language.code_points(text)), 0, 0
+    while at < len(sym):
+        k = 0
+        while at + k < len(sym) and any(sym[at : at + k + 1] in h for h in hay):
+            k += 1
+        n, at = n + 1, at + max(1, k)
+    return n
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 256])
+@pytest.mark.parametrize("few", [0, 4, 1 << 30])
+def test_phrases_by_greedy_parsing(block, few, monkeypatch):
+    monkeypatch.setattr(language, "FEW", few)
+    rng = random.Random(11)
+    samples = {"a": ("the cat sat on the mat", "a dog", "aaaaa"), "b": ("el gato se sienta", "ñandú"), "c": ("".join(rng.choices("ab ", k=400)), "".join(rng.choices("abc", k=50)))}
     parser = language.CrossParser(samples)
+    texts = ["the dog sat", "el gato on the mat", "zzz qqq", "x", "thet hecat sa", "ñu дом 中文", "a" * 3001, "the cat " * 400]
+    texts += ["".join(rng.choices("abcdet ", k=rng.randint(1, 2500))) for _ in range(12)]
+    points = [language.code_points(t) for t in texts]
+    for k, lang in enumerate("abc"):
+        got = parser.phrases(k, np.concatenate(points), np.cumsum([len(p) for p in points]), block)
+        assert got.tolist() == [greedy(samples[lang], t) for t in texts]
 
-    def brute(lang, text):
-        cps = language.code_points(text).tolist()
-        hay = [parser.symbol[language.code_points(s)].tolist() for s in samples[lang]]
-        sym, n, at = parser.symbol[cps].tolist(), 0, 0
-        while at < len(sym):
-            k = 0
-            while at + k < len(sym) and any(sym[at : at + k + 1] == h[i : i + k + 1] for h in hay for i in range(len(h))):
+
+def test_whole_language_query_by_brute_force(spark, sf_dir):
+    """Every prediction from the phrases of the whole text, sought in the joined samples."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    samples = language.labelled_samples(df, language.fold(F.col("doc_id"), 4) != 2)
+    hay = {k: "\x01".join("".join(map(chr, language.code_points(t))) for t in v) for k, v in samples.items()}
+    bits = {k: np.log2(sum(len(language.code_points(t)) for t in v)) for k, v in samples.items()}
+
+    def phrases(h, s):
+        n, at = 0, 0
+        while at < len(s):
+            k = 1
+            while at + k < len(s) and s[at : at + k + 1] in h:
                 k += 1
-            n, at = n + 1, at + max(1, k)
+            n, at = n + 1, at + k
         return n
 
-    for text in ("the dog sat", "el gato on the mat", "zzz qqq", "x", "thet hecat sa"):
-        blocks = np.full((language.BLOCK, 1), language.PAD, np.uint8)
-        s = parser.symbol[language.code_points(text)]
-        blocks[: len(s), 0] = s
-        assert parser.phrases(blocks)[:, 0].tolist() == [brute("a", text), brute("b", text)]
+    text = {r["doc_id"]: r["text"] for r in df.collect()}
+    got = {r["doc_id"]: r for r in language.query(spark, sf_dir).collect()}
+    for i in sorted(text)[:60]:
+        s = "".join(map(chr, language.code_points(text[i] or "")))[:20_000]
+        if not s.strip("\0") or len(s) == 20_000:
+            continue
+        cost = {k: phrases(h, s) * bits[k] for k, h in hay.items()}
+        assert got[i]["lang_pred"] == min(sorted(cost), key=cost.get)
+
+
+def test_samples_are_whole_and_bounded(spark):
+    rows = [(i, f"word{'abc'[i % 3] * 3} " * 30, "xy"[i % 2]) for i in range(400)] + [(7, "again and again", "x")] * 500 + [(None, "no id", "x"), (900, "z" * 700_000, "z"), (901, "z" * 500_000, "z"), (902, "1 2 3", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.labelled_samples(df, language.fold(F.col("doc_id"), 4) != 2)
+    texts = {r[1] for r in rows}
+    assert set(got) <= {"x", "y", "z"} and {"x", "y"} <= set(got)
+    assert all(t in texts for v in got.values() for t in v) and all(len(v) <= language.SAMPLE_DOCS for v in got.values())
+    assert all(sum(map(len, got[k])) <= language.SAMPLE_CHARS for k in "xy") and len(got.get("z", ())) <= 1
 
 
 def test_language_on_held_out_documents(spark):
