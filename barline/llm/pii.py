@@ -1,15 +1,24 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel network.
 
 Validated card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses, phone
-numbers and calendar dates become other valid values of the same format: ten Feistel rounds with a
-keyed SHA-256 permute the value's index within its domain, so equal values get equal pseudonyms in
-all documents and different values different ones.  Mail addresses and hexadecimal secrets, which
-have no such domain, become keyed digests in their shape.  What fails validation stays as it is.
-DataFrame functions only.
+numbers with a ``+`` and dates from 1900 to 2099 become other valid values of the same format: ten
+Feistel rounds with a keyed SHA-256 permute the value's index within its domain, so equal values get
+equal pseudonyms in all documents and different values of a format different ones.  Mail addresses
+and hexadecimal secrets, which have no such domain, become keyed digests in their shape.  What fails
+validation, other dates and phone numbers without a country code stay as they are.  DataFrame
+functions only.
+
+A slash date is read month first where that is a date, else day first; those that can only be read
+day first are permuted among themselves (by day up to 28, and by length of the month for later days).
+
+The key is a string or a column.  A string shows in the plan, so only a public key should be given
+that way; ``key_from`` reads a secret one from a file when the query runs.
 
 Defined cases: null texts stay null, texts without a match stay equal; all copies of a row change
-alike; an empty table gives an empty result; other columns pass through.  A number and its
-separators keep their lay-out.
+alike; an empty table gives an empty result; other columns pass through, whatever their names, but
+for one named like ``count``, which is replaced.  A number and its separators keep their lay-out.  A
+mail domain has at most 127 labels of at most 63 characters; longer ones are not taken for one, so
+texts of any length are matched in bounded depth.
 """
 
 from __future__ import annotations
@@ -17,14 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents
+from barline.llm.common import documents, fresh
 
 #: Stands in for the deployment's secret in tests and in the registered query.
 DEMO_KEY = "barline-demo-key"
 ROUNDS = 10
 
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,125}\.\p{L}{2,63}"
 SECRET = EDGE_L + r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,64}" + EDGE_R
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -50,17 +59,18 @@ DATE = r"(?<![\p{L}\p{N}_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9]{2}(?::?[
 IPV4 = r"(?<![\p{L}\p{N}_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_])(?!\.[0-9])"
 KINDS = (EMAIL, SECRET, IBAN, PHONE, SSN, DATE, IPV4)
 ANY = "|".join((CARD, *KINDS))
-#: Dates from 1900-01-01 on, 270 times 270 days.
-FIRST_DAY, DATE_SIDE = "1900-01-01", 270
+#: The days of 1900 to 2099.
+FIRST_YEAR, YEARS, DATE_SIDES = 1900, 200, (17, 4297)
+LONG_MONTHS, SHORT_MONTHS = (1, 3, 5, 7, 8, 10, 12), (4, 6, 9, 11)
 
 
-def _prf(key: str, kind: str, n: Column, value: Column) -> Column:
+def _prf(key: str | Column, kind: str, n: Column, value: Column) -> Column:
     """60 bits of a keyed digest."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), value.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, side_a: Column, side_b: Column) -> Column:
+def feistel(key: str | Column, kind: str, a: Column, b: Column, side_a: Column, side_b: Column) -> Column:
     """Keyed permutation of ``[0, side_a) x [0, side_b)``: struct(a, b)."""
     add = lambda x, y, side, n: F.pmod(x + F.pmod(_prf(key, kind, n, y), side), side)
 
@@ -84,7 +94,7 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permute_digits(key: str, kind: str, digits: Column) -> Column:
+def permute_digits(key: str | Column, kind: str, digits: Column) -> Column:
     """A string of 2 to 36 digits -> another of that length."""
     half = (F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -110,7 +120,7 @@ def _fill(template: Column, digits: Column) -> Column:
     return F.aggregate(F.split(template, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, lambda s: s["out"])
 
 
-def card(key: str, m: Column) -> Column:
+def card(key: str | Column, m: Column) -> Column:
     d = _digits(m)
 
     def checked(body: Column) -> Column:
@@ -130,7 +140,7 @@ def iban_valid(m: Column) -> Column:
     return F.length(s).between(15, 34) & (_mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
 
 
-def iban(key: str, m: Column) -> Column:
+def iban(key: str | Column, m: Column) -> Column:
     """Digits of the account part are permuted, letters stay, the check digits are made anew."""
     bare = F.replace(m, F.lit(" "))
     body = F.substring(bare, F.lit(5), F.length(bare))
@@ -156,7 +166,7 @@ def ssn_valid(m: Column) -> Column:
     return ~m.rlike("^(000|666|9)|-00-|-0000$")
 
 
-def ssn(key: str, m: Column) -> Column:
+def ssn(key: str | Column, m: Column) -> Column:
     area = _number(m, 1, 3)
     index = area - 1 - (area > 666).cast("long")
     out = feistel(key, "ssn", index * 99 + _number(m, 5, 2) - 1, _number(m, 8, 4) - 1, F.lit(898 * 99), F.lit(9999))
@@ -172,39 +182,66 @@ def _octets(m: Column) -> Column:
     return F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
 
 
-def ipv4(key: str, m: Column) -> Column:
+def ipv4(key: str | Column, m: Column) -> Column:
     o = _octets(m)
     out = feistel(key, "ipv4", F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1)), F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)), F.lit(65536), F.lit(65536))
     byte = lambda x, k: (F.floor(x / 256) if k else x % 256).cast("string")
     return _let(out, lambda s: F.concat_ws(".", byte(s["a"], 1), byte(s["a"], 0), byte(s["b"], 1), byte(s["b"], 0)))
 
 
-def phone(key: str, m: Column) -> Column:
+def phone(key: str | Column, m: Column) -> Column:
     """The country code, up to the first separator or three digits, stays."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}?(?=[ .(-])|^\+[0-9]", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return F.concat(code, _fill(rest, permute_digits(key, "phone", _digits(rest))))
 
 
-#: Regular form, date pattern.  A slash date is month first where that is a date, else day first.
-DATE_FORMS = ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"/", "MM/dd/yyyy"), (r"/", "dd/MM/yyyy"), (r"\.", "dd.MM.yyyy"))
+#: Regular form, date pattern.
+DATE_FORMS = ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy"))
+
 
+def _days(m: Column, form: str) -> Column:
+    """Days since the first of the range; null for other dates and what is none."""
+    day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+    return F.when(F.year(day).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), F.datediff(day, F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1))))
 
-def _day(m: Column, form: str) -> Column:
-    n = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    return F.when(n.between(0, DATE_SIDE**2 - 1), n)
 
+def _day_first(key: str | Column, m: Column) -> Column:
+    """dd/MM/yyyy with a day over 12, among those of its class: up to the 28th, or the later days of
+    months with 31, 30 and 29 days."""
+    d, mo, y = _number(m, 1, 2), _number(m, 4, 2), _number(m, 7, 4)
+    year = y - FIRST_YEAR
 
-def date(key: str, m: Column) -> Column:
+    def shown(day: Column, month: Column, y: Column) -> Column:
+        return F.format_string("%02d/%02d/%04d", day, month, y)
+
+    def late(kind: str, months: tuple[int, ...], days: int) -> Column:
+        named = F.array(*map(F.lit, months))
+        out = feistel(key, kind, year, (F.array_position(named, mo.cast("int")) - 1) * days + d - 29, F.lit(YEARS), F.lit(days * len(months)))
+        return _let(out, lambda s: shown(s["b"] % days + 29, F.get(named, F.floor(s["b"] / days).cast("int")).cast("long"), s["a"] + FIRST_YEAR))
+
+    early = feistel(key, "day-first", year * 12 + mo - 1, d - 13, F.lit(YEARS * 12), F.lit(16))
+    leap = F.floor((y - 1904) / 4)
+    leaped = feistel(key, "leap-day", F.floor(leap / 7), leap % 7, F.lit(7), F.lit(7))
+    return (
+        F.when(d <= 28, _let(early, lambda s: shown(s["b"] + 13, s["a"] % 12 + 1, F.floor(s["a"] / 12) + FIRST_YEAR)))
+        .when(mo == 2, _let(leaped, lambda s: shown(F.lit(29).cast("long"), F.lit(2).cast("long"), 1904 + 4 * (s["a"] * 7 + s["b"]))))
+        .when(mo.isin(*LONG_MONTHS), late("long-month", LONG_MONTHS, 3))
+        .otherwise(late("short-month", SHORT_MONTHS, 2))
+    )
+
+
+def date(key: str | Column, m: Column) -> Column:
     """Null if it is no date of the range."""
+    side_a, side_b = DATE_SIDES
 
     def made(n: Column, form: str) -> Column:
-        out = feistel(key, "date", F.floor(n / DATE_SIDE), n % DATE_SIDE, F.lit(DATE_SIDE), F.lit(DATE_SIDE))
-        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), _let(out, lambda s: (s["a"] * DATE_SIDE + s["b"]).cast("int"))), form)
+        out = feistel(key, "date", F.floor(n / side_b), n % side_b, F.lit(side_a), F.lit(side_b))
+        return F.date_format(F.date_add(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1)), _let(out, lambda s: (s["a"] * side_b + s["b"]).cast("int"))), form)
 
-    out = F.lit(None).cast("string")
-    for pattern, form in reversed(DATE_FORMS):
-        n = F.when(m.rlike(pattern), _day(m, form))
+    out = F.when(_days(F.when(m.rlike("/"), m), "dd/MM/yyyy").isNotNull(), _day_first(key, m))
+    for pattern, form in DATE_FORMS:
+        n = _days(F.when(m.rlike(pattern), m), form)
         out = F.when(n.isNotNull(), made(n, form)).otherwise(out)
     return out
 
@@ -213,17 +250,17 @@ def _cased(m: Column, out: Column) -> Column:
     return F.when(m.eqNullSafe(F.upper(m)), F.upper(out)).otherwise(out)
 
 
-def email(key: str, m: Column) -> Column:
+def email(key: str | Column, m: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)).cast("binary"), 256)
     return _cased(m, F.concat(F.lit("u"), F.substring(digest, 1, 16), F.lit("@example.invalid")))
 
 
-def secret(key: str, m: Column) -> Column:
+def secret(key: str | Column, m: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)).cast("binary"), 256)
     return _cased(m, F.substring(digest, F.lit(1), F.length(m)))
 
 
-def pseudonym(key: str, m: Column) -> Column:
+def pseudonym(key: str | Column, m: Column) -> Column:
     """The match's pseudonym, or the match itself if it isn't valid."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     ip = whole(IPV4) & F.forall(_octets(m), lambda x: x <= 255)
@@ -240,16 +277,26 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+def key_from(spark: SparkSession, path: str) -> Column:
+    """A key that is read from the first line of a file when the query runs; no plan shows it."""
+    return spark.read.text(path).limit(1).scalar()
+
+
+def pseudonymise(df: DataFrame, key: str | Column, text: str = "text", count: str | None = None) -> DataFrame:
     """``df`` with personal data in ``text`` replaced; ``count`` names a column for how many were."""
+    columns = list(df.columns)
+    own, found, made = (fresh(df, n) for n in ("key", "found", "made"))
+    if isinstance(key, Column):
+        df, key = df.withColumn(own, key), F.col(own)
     t = F.col(text)
-    df = df.withColumn("__found", F.when(t.rlike("[@0-9]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    df = df.withColumn("__made", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(key, m))))
-    parts = F.zip_with(F.split(t, ANY, -1), "__made", lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    df = df.withColumn(found, F.when(t.rlike("[@0-9]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    df = df.withColumn(made, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(key, m))))
+    parts = F.zip_with(F.split(t, ANY, -1), made, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     if count:
-        changed = F.size(F.filter(F.zip_with("__found", "__made", lambda a, b: a != b), lambda x: x))
-        df = df.withColumn(count, F.coalesce(F.when(F.col("__made").isNotNull(), changed), F.lit(0)).cast("long"))
-    return df.withColumn(text, F.when(F.col("__made").isNull(), t).otherwise(F.array_join(parts, ""))).drop("__found", "__made")
+        changed = F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x))
+        df = df.withColumn(count, F.coalesce(F.when(F.col(made).isNotNull(), changed), F.lit(0)).cast("long"))
+    df = df.withColumn(text, F.when(F.col(made).isNull(), t).otherwise(F.array_join(parts, "")))
+    return df.select(*columns, *([count] if count and count not in columns else []))
 
 
 def query(spark: SparkSession, sf_dir: str, key: str = DEMO_KEY) -> DataFrame:
