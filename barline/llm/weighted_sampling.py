@@ -1,19 +1,21 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are five-word shingles (a shorter text is one term) weighted by their counts.  Each of the
-``SAMPLES`` samples draws two Gamma(2, 1) variates and a uniform per term, all from hashes of term
-and sample number, and keeps the term and quantised weight that minimise
+``SAMPLES`` samples draws two Gamma(2, 1) variates and a uniform per term, from four hashes of term
+and sample number of their own, and keeps the term and quantised weight that minimise
 ``ln c - r (t + 1 - beta)`` with ``t = floor(ln w / r + beta)``.  Two texts keep the same one with
-the probability of their generalised Jaccard similarity, so the share of equal samples estimates it.
+the probability of their generalised Jaccard similarity, so the share of equal samples estimates it,
+with a standard deviation of at most 1 / (2 sqrt(SAMPLES)), that is 0.0625.
 
-Each document also meets the next one by descending id.  Ids are cut into ranges at quantiles; a
-range is sorted in its task and gets a copy of the head of the following range, so a text moves
-once and no range needs another task's rows.
+Each document also meets the next one by descending id.  Rows are dealt out by ranges of id and a
+hash of the text, about ``RANGE_BYTES`` in each, and sorted in their tasks, so a text moves once.
+The first and the last row of each range are handed on, and a second, small step pairs the ends of
+neighbouring ranges.
 
 Defined cases: null texts count as empty; texts without a word have the fingerprint of no term
 (all zero), equal to each other and unlike any other; null ids come last; rows that repeat an id
-are ordered by text and keep a row each; a lone row is its own next; an empty table gives an empty
-result.
+are ordered by a hash of the text, then the text, and keep a row each; a lone row is its own next;
+an empty table gives an empty result.  Other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents
+from barline.llm.common import documents, durable
 
-SAMPLES = 32
+SAMPLES = 64
 SHINGLE = 5
 #: Terms that are sampled at once.
-SLICE = 1024
+SLICE = 512
+RANGE_BYTES = 32 << 20
 MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-SALT = [np.random.default_rng(k).integers(1, 1 << 32, SAMPLES, np.uint32) | np.uint32(1) for k in range(2)]
+SALT = np.random.default_rng(4).integers(0, 1 << 32, (4, SAMPLES, 1), np.uint32)
 ROUND = [np.uint32(x) for x in (0x7FEB352D, 0x846CA68B)]
 HALF = np.uint32(0xFFFF)
 
@@ -54,22 +58,28 @@ def terms(text: str, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return t, count.astype(np.float32)
 
 
-def _bits(t: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    z = salt[:, None] * t
-    z ^= z >> np.uint32(16)
+def _bits(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    z = x ^ salt
     z *= ROUND[0]
     z ^= z >> np.uint32(15)
+    z *= ROUND[1]
+    z ^= z >> np.uint32(16)
     return z
 
 
-def _log_product(z: np.ndarray) -> np.ndarray:
-    """ln(u v) of the two uniforms that the halves of ``z`` are."""
-    u, v = (z & HALF).view(np.int32).astype(np.float32), (z >> np.uint32(16)).view(np.int32).astype(np.float32)
+def _unit(z: np.ndarray) -> np.ndarray:
+    """The bits as uniforms in (0, 1)."""
+    u = (z >> np.uint32(8)).view(np.int32).astype(np.float32)
     u += np.float32(0.5)
-    v += np.float32(0.5)
+    u *= np.float32(2.0**-24)
+    return u
+
+
+def _minus_log(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A Gamma(2, 1) variate of two uniforms."""
     u *= v
-    u *= np.float32(2.0**-32)
-    return np.log(u, out=u)
+    np.log(u, out=u)
+    return np.negative(u, out=u)
 
 
 def _least(term: np.ndarray, log_weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,20 +88,21 @@ def _least(term: np.ndarray, log_weight: np.ndarray | None) -> tuple[np.ndarray,
     ``log_weight`` is None where all weights are 1: then t is 0.
     """
     lo, hi = term.astype(np.uint32), (term >> np.uint64(32)).astype(np.uint32)
-    z1, z2 = _bits(lo, SALT[0]), _bits(hi, SALT[1])
-    minus_r, c = _log_product(z1), _log_product(z2)
-    np.negative(c, out=c)
-    z2 >>= np.uint32(7)
-    z1 ^= z2
-    z1 *= ROUND[1]
-    z1 >>= np.uint32(8)
-    beta = z1.view(np.int32).astype(np.float32)
-    beta *= np.float32(2.0**-24)
-    t = None if log_weight is None else np.floor(beta - log_weight / minus_r)
+    x, y = lo ^ (hi * ROUND[1]), hi ^ (lo * ROUND[0])
+    # r may be coarse: two uniforms of 16 bits; what orders the terms is finer
+    z = _bits(x, SALT[0])
+    halves = [h.view(np.int32).astype(np.float32) for h in (z & HALF, z >> np.uint32(16))]
+    for h in halves:
+        h += np.float32(0.5)
+        h *= np.float32(2.0**-16)
+    r = _minus_log(*halves)
+    c = _minus_log(_unit(_bits(y, SALT[1])), _unit(_bits(x, SALT[2])))
+    beta = _unit(_bits(y, SALT[3]))
+    t = None if log_weight is None else np.floor(log_weight / r + beta)
     np.subtract(1 if t is None else t + 1, beta, out=beta)
-    minus_r *= beta
+    r *= beta
     order = np.log(c, out=c)
-    order += minus_r
+    order -= r
     at = order.argmin(1)
     k = np.arange(SAMPLES)
     steps = np.zeros(SAMPLES, np.int32) if t is None else t[k, at].astype(np.int32)
@@ -141,59 +152,57 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def ranges(df: DataFrame, n: int) -> DataFrame:
-    """(doc_id long, text) -> the same plus __range, __ahead, __key.
-
-    Ranges hold ids in order, the lowest ids in range 0.  A row with __ahead = 1 is the copy of the
-    head (largest id) of the next lower range, or of the highest for the lowest one.
-    """
-    low = -(1 << 63)
-    keyed = df.withColumn("__key", F.coalesce("doc_id", F.lit(low)))
-    cuts = keyed.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    keyed = keyed.withColumn("__range", F.size(F.filter(bounds, lambda x: x < F.col("__key"))))
-    heads = sorted((r["__range"], r["k"]) for r in keyed.groupBy("__range").agg(F.max("__key").alias("k")).collect())
-    if not heads:
-        return keyed.withColumn("__ahead", F.lit(0))
-    to = [F.lit(x) for (_, k), (above, _) in zip(heads, heads[1:] + heads[:1]) for x in (k, above)]
-    copy = F.struct(F.element_at(F.create_map(*to), F.col("__key")).alias("r"), F.lit(1).alias("a"))
-    own = F.struct(F.col("__range").alias("r"), F.lit(0).alias("a"))
-    places = F.when(F.col("__key").isin([k for _, k in heads]), F.array(own, copy)).otherwise(F.array(own))
-    return keyed.withColumn("__p", F.explode(places)).select("doc_id", "text", "__key", F.col("__p.r").alias("__range"), F.col("__p.a").alias("__ahead"))
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+#: An end of a range is a row of its own: number of the range, 0 (first) or 1 (last), id and text.
+ENDS = "part int, end int, end_id long, end_text string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+ARROW = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in f"{SCHEMA}, {ENDS}".split(", ")])
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def compared(i: int | None, text: str, own: np.ndarray, following: str, next_: np.ndarray) -> dict:
+    new = edited(text, following)
+    e = sign(new)
+    return dict(zip(NAMES, (i, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(e), likeness(own, e), likeness(own, next_))))
 
 
-def with_next(df: DataFrame, n_ranges: int) -> DataFrame:
+def with_next(df: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """(doc_id, text) rows -> fingerprints of text and edited text, compared along descending ids."""
-    rows = ranges(df.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), n_ranges)
-    dealt = rows.repartition(n_ranges, "__range").sortWithinPartitions("__range", "__ahead", F.desc("__key"), "text")
-    dealt = dealt.select("__range", "__ahead", "doc_id", "text")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if n_ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n_ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    place = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(n_ranges, *place).sortWithinPartitions(*place, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, id, text, signature) of the row that waits for its next
+        part = TaskContext.get().partitionId()
+        held = None  # (id, text, signature) of the row that waits for its next
         for b in batches:
-            out = []
-            for r, ahead, i, text in zip(*(c.to_pylist() for c in b.columns)):
-                if ahead and (held is None or held[0] != r):
-                    continue
-                sig = sign(text)
-                if held is not None:
-                    new = edited(held[2], text)
-                    e = sign(new)
-                    out.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), shown(held[3]), shown(e), likeness(held[3], e), likeness(held[3], sig)))
-                held = None if ahead else (r, i, text, sig)
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, o)) for o in out], ARROW)
-
-    return dealt.mapInArrow(run, SCHEMA)
-
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for i, text in zip(*(c.slice(at, 256).to_pylist() for c in b.columns)):
+                    sig = sign(text)
+                    out.append(compared(*held, text, sig) if held else {"part": part, "end": 0, "end_id": i, "end_text": text})
+                    held = (i, text, sig)
+                yield pa.RecordBatch.from_pylist(out, ARROW)
+        if held:
+            yield pa.RecordBatch.from_pylist([{"part": part, "end": 1, "end_id": held[0], "end_text": held[1]}], ARROW)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text, following in zip(*(c.to_pylist() for c in b.columns)):
+                yield pa.RecordBatch.from_pylist([compared(i, text, sign(text), following, sign(following))], pa.schema(list(ARROW)[: len(NAMES)]))
 
-NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]]) for n, f in zip(NAMES, SCHEMA.split(", "))])
+    done = durable(dealt.mapInArrow(run, f"{SCHEMA}, {ENDS}"), "sampling-ranges")
+    ends = done.where("part is not null")
+    first = ends.where("end = 0").select(F.col("part").alias("p2"), F.col("end_text").alias("following"))
+    # one row per range; the last range goes on with the first
+    order = ends.where("end = 0").select("part").withColumn("to", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
+    tails = ends.where("end = 1").select("part", "end_id", "end_text").join(order, "part")
+    paired = tails.join(first, F.col("to") == F.col("p2")).select("end_id", "end_text", "following").mapInArrow(pair, SCHEMA)
+    return done.where("part is null").select(*NAMES).unionByName(paired)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(documents(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return with_next(documents(spark, sf_dir))

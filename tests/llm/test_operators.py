@@ -169,22 +169,30 @@ def test_classifier_on_held_out_labels(spark):
 # 4: weighted sampling
 
 
-def test_collision_rate_is_generalised_jaccard():
+@pytest.mark.parametrize("n, most, rounds", [(300, 3, 200), (300, 5000, 150), (20_000, 2, 40), (3, 4, 300)])
+def test_collision_rate_is_generalised_jaccard(n, most, rounds):
+    """Few and many terms, light and heavy weights: no bias, and the spread of independent samples."""
     rng = np.random.default_rng(5)
-    term = rng.integers(0, 1 << 64, 300, np.uint64)
-    errors = []
-    for k in range(200):
-        a, b = rng.integers(0, 4, 300).astype(np.float32), rng.integers(0, 4, 300).astype(np.float32)
+    term = rng.integers(0, 1 << 64, n, np.uint64)
+    errors, spread = [], []
+    for k in range(rounds):
+        a, b = rng.integers(0, most + 1, n).astype(np.float32), rng.integers(0, most + 1, n).astype(np.float32)
+        a[0] = b[0] = max(1, a[0])
+        if k % 2:  # weights that differ a little
+            b = np.where(rng.random(n) < 0.8, a, b)
         t = term * np.uint64(2 * k + 1)
         j = np.minimum(a, b).sum() / np.maximum(a, b).sum()
         errors.append(weighted_sampling.likeness(weighted_sampling.signature(t[a > 0], a[a > 0]), weighted_sampling.signature(t[b > 0], b[b > 0])) - j)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.12
+        spread.append(j * (1 - j) / weighted_sampling.SAMPLES)
+    se = np.sqrt(np.mean(spread))
+    assert abs(np.mean(errors)) < 4 * se / np.sqrt(rounds) and np.std(errors) < 1.35 * se
 
 
 def test_fingerprints_by_brute_force(spark, sf_dir, docs):
     got = weighted_sampling.query(spark, sf_dir).toPandas().set_index("doc_id")
     text = dict(zip(docs.doc_id, docs.text))
     ids = sorted(text, reverse=True)
+    assert sorted(got.index) == sorted(ids)
     for i, nxt in zip(ids, ids[1:] + ids[:1]):
         half = len(text[i]) // 2
         e = text[i][: len(text[i]) - half] + text[nxt][:half]
@@ -195,6 +203,24 @@ def test_fingerprints_by_brute_force(spark, sf_dir, docs):
         assert r.fingerprint == weighted_sampling.shown(a) and r.edited_fingerprint == weighted_sampling.shown(b)
 
 
+@pytest.mark.parametrize("n_ranges", [1, 3, 40])
+def test_next_rows_over_any_ranges(spark, n_ranges):
+    rows = [(i if i % 3 else None, f"t{i % 5} word " * (i % 4)) for i in range(25)] + [(7, f"same id {i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    want = [(i, hashlib.sha256(weighted_sampling.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    got = [(r["doc_id"], r["edited_sha256"]) for r in weighted_sampling.with_next(df, n_ranges).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_n_chars_and_edited_texts_by_sql(spark, sf_dir):
+    sql = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+      e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM d)
+      SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(nxt, 1, n // 2)) AS edited_sha256 FROM e"""
+    oracle.same(spark, oracle.connect(sf_dir), sf_dir, lambda s, d: weighted_sampling.query(s, d).select("doc_id", "n_chars", "edited_sha256"), sql)
+
+
 # 5: token counts
 
 
