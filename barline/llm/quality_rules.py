@@ -1,13 +1,17 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a DataFrame condition that rejects a document.  On a bounded sample the cascade
-times each rule and counts what it rejects, then orders the rules by rejections per unit of cost
-and evaluates them in one CASE chain: a later rule runs only on documents that all earlier ones
-let pass.  The order changes the work, never the verdict.  DataFrame functions only.
-
-Defined cases: null and blank texts have no word, so they fail the base rule; repeated rows get
-equal verdicts; an empty table gives an empty result and the rules keep their given order.  A
-column of the input named like an output column is replaced.
+Every rule is a DataFrame condition that rejects a document, with the statistics it needs.  On a
+bounded sample the cascade times each rule, its statistics included, and sees which rows it rejects.
+Then it picks rules one after the other, each time the one with the most rejections per second among
+the rows that the rules before leave.  ``keep`` evaluates them in that order, and a rule's
+statistics are worked out only for documents that all earlier rules let pass.  ``assess`` reports
+all base statistics, so there only the other rules' counts are saved.  The order changes the work,
+never the verdict.  DataFrame functions only.
+
+Defined cases: null and blank texts have no word, so they fail the base rules; repeated rows get
+equal verdicts; an empty table gives an empty result and the rules keep their given order.
+``keep`` returns the columns of its input, whatever their names; ``assess`` replaces a column of the
+input named like one it adds.
 """
 
 from __future__ import annotations
@@ -19,20 +23,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents, words_of
+from barline.llm.common import documents, fresh, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: The cascade is planned on at most this many rows.
 SAMPLE_ROWS = 2_000
+#: So often each sampled row is worked out for a measurable time.
+PASSES = 4
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` may use the text column and the base statistics."""
+    """``rejects`` may use the text column and the base statistics that ``needs`` names."""
 
     name: str
     rejects: Column
+    needs: tuple[str, ...] = ("n_words",)
 
 
 def n_repeat_words(words: Column) -> Column:
@@ -62,23 +69,36 @@ def n_repeat_words(words: Column) -> Column:
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _statistics(body: Column, words: Column) -> dict[str, Column]:
+    lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(NOT_BLANK))
+    return {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "n_repeat_words": n_repeat_words(words),
+    }
+
+
+def base_rules() -> list[Rule]:
+    return [Rule("few_words", F.col("n_words") < 50), Rule("repeat_words", 100 * F.col("n_repeat_words") > 50 * F.col("n_words"), ("n_words", "n_repeat_words"))]
+
+
 def base_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus the base statistics (long) and base_failed."""
-    df = df.drop(*BASE, "base_failed", "__words", "__lines")
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__words", words_of(F.col(text)))
-    df = df.withColumn("__lines", F.filter(F.split(body, "\n"), lambda line: line.rlike(NOT_BLANK)))
-    df = df.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": n_repeat_words(F.col("__words")),
-        }
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.drop("__words", "__lines").withColumn("base_failed", failed)
+    df = df.drop(*BASE, "base_failed")
+    words = fresh(df, "words")
+    df = df.withColumn(words, words_of(F.col(text)))
+    df = df.withColumns(_statistics(F.coalesce(F.col(text), F.lit("")), F.col(words))).drop(words)
+    failed = base_rules()[0].rejects
+    for r in base_rules()[1:]:
+        failed = failed | r.rejects
+    return df.withColumn("base_failed", failed)
 
 
 def _count(text: str, pattern: str) -> Column:
@@ -89,40 +109,50 @@ def default_rules(text: str = "text") -> list[Rule]:
     n = F.col("n_words")
     letters, capitals = _count(text, "[A-Za-z]"), _count(text, "[A-Z]")
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("dup_lines", F.col("n_dup_lines") * 10 > n),
-        Rule("short_words", F.col("word_chars") < 2 * n),
-        Rule("long_words", F.col("word_chars") > 20 * n),
+        Rule("symbols", 10 * F.col("n_symbols") > n, ("n_words", "n_symbols")),
+        Rule("dup_lines", F.col("n_dup_lines") * 10 > n, ("n_words", "n_dup_lines")),
+        Rule("short_words", F.col("word_chars") < 2 * n, ("n_words", "word_chars")),
+        Rule("long_words", F.col("word_chars") > 20 * n, ("n_words", "word_chars")),
         Rule("exclaims", 10 * _count(text, "!") > 3 * n),
         Rule("capitals", 10 * capitals > 6 * letters),
     ]
 
 
 def plan_cascade(df: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float]]:
-    """Rules in the order to run them, each with its rejections per second on the sample.
+    """Rules in the order to run them, each with its rejections per second among the rows left to it.
 
-    A rule's cost is the time of a pass over the cached sample that evaluates only this rule, less
-    that of a pass that evaluates none.
+    A rule's cost is the time of a pass over the cached sample, each row ``PASSES`` times, that works
+    out only this rule and what it needs, less that of a pass that works out none.
     """
     total = df.count()
     sample = df.sample(False, min(1.0, 1.2 * sample_rows / total), seed=7) if total > sample_rows else df
-    sample = base_stats(sample.limit(sample_rows), text).cache()
+    sample = sample.limit(sample_rows).select(F.col(text), words_of(F.col(text)).alias("__words")).cache()
     try:
-        rows = sample.count()
+        if not sample.count():
+            return [(r, 0.0) for r in rules]
+        stats = _statistics(F.coalesce(F.col(text), F.lit("")), F.col("__words"))
+        many = sample.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(PASSES))))
 
-        def timed(rejects: Column) -> tuple[float, int]:
+        def seconds(needs: tuple[str, ...], rejects: Column) -> float:
             began = time.perf_counter()
-            n = sample.agg(F.count(F.when(rejects, 1)).alias("n")).first()["n"]
-            return time.perf_counter() - began, n
-
-        if not rows:
-            return [(r, 0.0) for r in rules]
-        timed(F.lit(False))
-        floor = timed(F.lit(False))[0]
-        scored = [(r, n / max(s - floor, 1e-3)) for r in rules for s, n in [timed(r.rejects)]]
+            many.withColumns({k: stats[k] for k in needs}).agg(F.count(F.when(rejects, 1))).first()
+            return time.perf_counter() - began
+
+        seconds((), F.col("__pass") < 0)
+        floor = min(seconds((), F.col("__pass") < 0) for _ in range(2))
+        cost = [max(seconds(r.needs, r.rejects) - floor, 1e-4) for r in rules]
+        flagged = sample.withColumns(stats).select(F.array(*(F.coalesce(r.rejects, F.lit(False)) for r in rules)).alias("hit"))
+        rows = [(r["hit"], r["n"]) for r in flagged.groupBy("hit").agg(F.count("*").alias("n")).collect()]
     finally:
         sample.unpersist()
-    return sorted(scored, key=lambda x: -x[1])
+    order, left = [], list(range(len(rules)))
+    while left:
+        rate = {i: sum(n for hit, n in rows if hit[i]) / cost[i] for i in left}
+        best = max(left, key=lambda i: (rate[i], -cost[i]))
+        order.append((rules[best], rate[best]))
+        left.remove(best)
+        rows = [(hit, n) for hit, n in rows if not hit[best]]
+    return order
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
@@ -141,14 +171,24 @@ def assess(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text
     return stats.withColumn("rejected_by", verdict(order)).withColumn("kept", F.col("rejected_by").isNull())
 
 
-def keep(df: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+def keep(df: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
     """The rows of ``df`` that no rule rejects.
 
     The row number keeps the optimiser from pushing the filter below the statistics, which would
     work the word list out anew in every lambda.
     """
-    assessed = assess(df, rules).withColumn("__row", F.monotonically_increasing_id())
-    return assessed.where("kept and __row >= 0").select(*df.columns)
+    rules = [*base_rules(), *default_rules(text)] if rules is None else rules
+    body, known = F.coalesce(F.col(text), F.lit("")), set()
+    work = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text), words_of(F.col(text)).alias("__words"))
+    stats, alive = _statistics(body, F.col("__words")), F.lit(True)
+    for k, (r, _) in enumerate(plan_cascade(df.select(text), rules, text)):
+        new = [n for n in r.needs if n not in known]
+        known.update(new)
+        if new:
+            work = work.withColumns({n: F.when(alive, stats[n]) for n in new})
+        work = work.withColumn(f"__alive{k}", alive & ~F.coalesce(r.rejects, F.lit(False)))
+        alive = F.col(f"__alive{k}")
+    return work.withColumn("__n", F.monotonically_increasing_id()).where(alive & (F.col("__n") >= 0)).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
