@@ -1,16 +1,17 @@
 """Quality classifier: a factorisation machine.
 
-Features are hashed lower-case words (shares of the text), binned structure statistics and the
-length.  The score is the logistic of ``w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2
+Features are hashed lower-case words (shares of the text), binned structure statistics and metadata
+(the numeric columns ``META``, binned on a logarithmic scale).  The score is the logistic of ``w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2
 x_i^2)``: all pairs interact through low-rank factors in time linear in the features.
 
 Bound: the machine is fitted by Adam on the driver on at most ``TRAIN_ROWS`` labelled rows, chosen
-by hash of the id; of these only the feature counts are gathered.  Scores read whole texts.
+by hash of the id, one of each id; of these only the features are gathered.  Scores read whole texts.
 
 Defined cases: null texts count as empty, and empty texts are scored from their statistics; several
 labels of one document are averaged; without any labelled row all scores are 0.5; repeated rows get
 equal scores; an empty table gives an empty result.  A row with a null id is not learned
-from and not held out.
+from and not held out.  Null or missing metadata sets no bin.  Other columns of the input don't
+matter.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ FOLDS, HELD_OUT = 5, 0
 UPPER, LOWER, DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 STATS = 11
-WIDTH = HASHES + STATS * BINS
+#: Columns beside the text that tell of a document.
+META = ("n_chars",)
+WIDTH = HASHES + (STATS + len(META)) * BINS
 
 
-def features(text: str | None) -> np.ndarray:
-    """Dense vector: word shares (square roots), then one bin set per statistic."""
+def features(text: str | None, meta: tuple = ()) -> np.ndarray:
+    """Dense vector: word shares (square roots), then one bin set per statistic and metadata column."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.lower().split()
     n, size = len(words), max(1, len(raw))
@@ -63,7 +66,10 @@ def features(text: str | None) -> np.ndarray:
         len(set(words)) / max(1, n),
         (size - byte[32]) / max(1, n) / 16,
     )
-    for i, s in enumerate(stats):  # piecewise linear: a value shares itself between two bins
+    told = [np.log1p(abs(m)) / 20 if m is not None and m == m else None for m in meta]
+    for i, s in enumerate((*stats, *told)):  # piecewise linear: a value shares itself between two bins
+        if s is None:
+            continue
         at = min(max(s, 0.0), 1.0) ** 0.5 * (BINS - 1)
         lo = min(int(at), BINS - 2)
         x[HASHES + i * BINS + lo] = 1 - (at - lo)
@@ -103,18 +109,30 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate:
     return FactorMachine(float(p[0]), p[1], p[2])
 
 
+def _told(df: DataFrame) -> list[Column]:
+    return [(F.col(m) if m in df.columns else F.lit(None)).cast("double").alias(m) for m in META]
+
+
+def _rows(b: pa.RecordBatch, at: int) -> Iterator[tuple[str | None, tuple]]:
+    """Text and metadata of a batch whose text is column ``at``."""
+    meta = [b.column(at + 1 + k).to_pylist() for k in range(len(META))]
+    return ((t.as_py(), m) for t, m in zip(b.column(at), zip(*meta)))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label: str, most: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``most`` labelled rows that ``learn`` allows."""
     y = labels.where(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string"), "y")
+    one = F.struct(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"), *_told(docs))
+    near = docs.select("doc_id", one.alias("d")).join(F.broadcast(chosen), "doc_id")
+    rows = near.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("d").alias("d")).select("doc_id", "y", "d.text", *(f"d.{m}" for m in META))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = [features(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(xs, pa.binary())], ["doc_id", "y", "x"])
+            xs = [features(t, m).tobytes() for t, m in _rows(b, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(xs, pa.binary())], ["doc_id", "y", "x"])
 
-    got = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows.mapInArrow(run, "doc_id long, y double, x binary").collect())[:most]
+    got = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in rows.mapInArrow(run, "doc_id long, y double, x binary").collect())
     x = np.frombuffer(b"".join(g[1] for g in got), np.float32).reshape(-1, WIDTH)
     return x, np.array([g[2] for g in got], np.float32)
 
@@ -127,12 +145,12 @@ def score(df: DataFrame, machine: FactorMachine | None) -> DataFrame:
         own = FactorMachine(*sent.value) if sent.value else None
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                texts = b.column(1).slice(at, 256).to_pylist()
-                s = own.score(np.stack([features(t) for t in texts])).astype(np.float64) if own else np.full(len(texts), 0.5)
+                part = b.slice(at, 256)
+                s = own.score(np.stack([features(t, m) for t, m in _rows(part, 1)])).astype(np.float64) if own else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(s)], ["doc_id", "score"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
+    return df.select("doc_id", F.col("text").cast("string"), *_told(df)).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> FactorMachine | None:
