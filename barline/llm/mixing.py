@@ -6,7 +6,8 @@ uniform of its id falls below the fraction.  DataFrame functions only.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows
 that repeat a ``doc_id`` share its draw; a null ``doc_id`` draws as the empty id; an empty table
-gives an empty result.  A column of the input named like an output column is replaced.
+gives an empty result.  A column of the input named like an output column is replaced, all others
+pass through.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents, durable, n_words_of
+from barline.llm.common import documents, durable, fresh, n_words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -57,25 +58,26 @@ def uniform(key: Column, seed: str) -> Column:
 
 def mix(df: DataFrame, seed: str = "mix:", weights=WEIGHTS, share: float = SHARE, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``df`` (doc_id, text, source, ...) plus size, source_size, target and copies (int)."""
-    made = ("size", "source_size", "target", "copies", "weight")
-    df = df.drop(*made)
+    df = df.drop("size", "source_size", "target", "copies")
+    named, salt, salt2 = (fresh(df, n) for n in ("source", "salt", "salt2"))
     sized = df.withColumn("size", n_words_of(F.col("text")))
     plan = durable(source_plan(sized.select("source", "size"), weights, share, max_repeat), "mix-sources")
-    plan = plan.select(F.col("source").alias("__s"), "source_size", "target")
+    plan = plan.select(F.col("source").alias(named), "source_size", "target")
     if plan.count() <= BROADCAST_SOURCES:
-        joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["__s"]), "left")
+        joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan[named]), "left")
     else:
-        salted = sized.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        plan = plan.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(plan, salted["source"].eqNullSafe(plan["__s"]) & (F.col("__salt") == F.col("__salt2")), "left").drop("__salt", "__salt2")
+        salted = sized.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        plan = plan.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(plan, salted["source"].eqNullSafe(plan[named]) & (F.col(salt) == F.col(salt2)), "left").drop(salt, salt2)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
-    return joined.drop("__s").withColumn("copies", copies.cast("int"))
+    return joined.drop(named).withColumn("copies", copies.cast("int"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document ``copies`` times, with ``columns`` only."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__n")).drop("__n")
+    n = fresh(mixed, "n")
+    return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias(n)).drop(n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
