@@ -13,12 +13,12 @@ shingles, and 256-bit fingerprints, compared the same way, only keep distant one
 
 Defined cases: null and blank texts have no word and fingerprint zero, linked like any other;
 repeated rows and ids keep a row each; the component of rows whose reachable ids are all null is
-null; an empty table gives an empty result.
+null; an empty table gives an empty result.  ``deduplicate`` passes all columns of its input through,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -239,25 +239,18 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
 
 
-#: Ids that are broadcast at once (8 bytes each); more go in rounds.
+#: Up to so many ids are broadcast (8 bytes each, or 16 with their group).
 BROADCAST_IDS = 2_000_000
 #: For similarity: five-word shingles, a 256-bit fingerprint, and as many least shingles as meeting keys.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_KEYS, SIMILARITY = 5, 4, 8, 0.8
 KEY_MIX = np.random.default_rng(17).integers(1, 1 << 63, WIDE_KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_MIX = np.random.default_rng(18).integers(1, 1 << 63, WIDE_WORDS, np.uint64)
 #: Shingles of one group that meet in one task; larger groups become pairs of chunks.
-SET_CHUNK = 4_000_000
+SET_CHUNK = 500_000
 #: Groups up to this size compare all their fingerprints at once.
 SMALL_GROUP = 256
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits expected at this Jaccard similarity of equally long texts, plus two standard deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WIDE_WORDS
-    return int(n * p + 2 * np.sqrt(n * p * (1 - p)))
-
-
 def loose_radius(similarity: float) -> int:
     """Prefilter: differing bits at this similarity of the least favourable small sets, plus five deviations."""
     p = max(np.arccos(2 * similarity / (1 + similarity)) / np.pi, (1 - similarity) * 15 / 16)
@@ -338,19 +331,10 @@ def exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return parent
 
 
-def in_rounds(ids: DataFrame, column: str, name: str, body) -> DataFrame:
-    """``body(broadcast ids, which)`` over all ``ids``, at most about ``BROADCAST_IDS`` of them at once.
-
-    ``which`` tells the round's rows by an id column; rounds are written one after the other.
-    """
-    rounds = -(-ids.count() // BROADCAST_IDS)
-    if rounds <= 1:
-        return body(F.broadcast(ids), lambda c: F.lit(True))
-    done = []
-    for r in range(rounds):
-        which = lambda c, r=r: F.pmod(F.xxhash64(c), F.lit(rounds)) == r
-        done.append(durable(body(F.broadcast(ids.where(which(column))), which), name))
-    return functools.reduce(DataFrame.unionByName, done)
+def by_ids(ids: DataFrame, column: str, body) -> DataFrame:
+    """``body(ids)``, which joins ids to texts: they are broadcast up to ``BROADCAST_IDS`` of them;
+    beyond that the texts are shuffled by id, once, whatever the number."""
+    return body(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"))
 
 
 def verified(df: DataFrame, loose: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
@@ -368,8 +352,8 @@ def verified(df: DataFrame, loose: DataFrame, similarity: float, chunk: int = SE
                 shown = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array([len(s) for s in sets], pa.int64()), shown], ["node", "root", "n", "shingles"])
 
-    def members(ids: DataFrame, which) -> DataFrame:
-        texts = df.where(which("doc_id")).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    def members(ids: DataFrame) -> DataFrame:
+        texts = df.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
         return texts.join(ids, "node").select("node", "root", "text").mapInArrow(make, "node long, root long, n long, shingles binary")
 
     def solve(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
@@ -392,7 +376,7 @@ def verified(df: DataFrame, loose: DataFrame, similarity: float, chunk: int = SE
         if (out := solve(held)) is not None:
             yield out
 
-    sets = durable(in_rounds(loose, "node", "simhash-set-round", members), "simhash-sets")
+    sets = durable(by_ids(loose, "node", members), "simhash-sets")
     n = F.greatest(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
     groups = durable(sets.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > chunk).select("root", n.alias("parts")), "simhash-set-hot")
     if groups.isEmpty():
@@ -447,10 +431,7 @@ def deduplicate(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = durable(similar_components(df, similarity), "simhash-found")
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
 
-    def keep(ids: DataFrame, which) -> DataFrame:
-        return df.where(which("doc_id")).join(ids, "doc_id", "left_anti").select(*df.columns)
-
-    kept = in_rounds(copies, "doc_id", "simhash-kept", keep)
+    kept = by_ids(copies, "doc_id", lambda ids: df.join(ids, "doc_id", "left_anti").select(*df.columns))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
