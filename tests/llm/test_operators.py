@@ -128,10 +128,21 @@ def test_cascade_order_never_changes_the_verdict(spark, sf_dir):
     rules = quality_rules.default_rules()
     stats = quality_rules.base_stats(df)
     verdicts = [sorted(r[0] for r in stats.where(quality_rules.verdict(order).isNull()).select("doc_id").collect()) for order in (rules, rules[::-1])]
-    assert verdicts[0] == verdicts[1]
+    assert verdicts[0] == verdicts[1] == sorted(r[0] for r in quality_rules.keep(df).select("doc_id").collect())
     assert {r.name for r, _ in quality_rules.plan_cascade(df, rules)} == {r.name for r in rules}
 
 
+def test_later_rules_count_only_what_is_left(spark):
+    """A rule that rejects what an earlier one has rejected comes last, however much it rejects by itself."""
+    df = spark.createDataFrame([(i, "w " * i) for i in range(200)], "doc_id long, text string")
+    n = F.col("n_words")
+    rules = [quality_rules.Rule("under_90", n < 90), quality_rules.Rule("over_190", n > 190), quality_rules.Rule("under_100", n < 100)]
+    order = [(r.name, rate) for r, rate in quality_rules.plan_cascade(df, rules)]
+    assert order[-1][0] == "under_90" and order[-1][1] == 0 or order[0][0] == "under_90"
+    kept = quality_rules.keep(df, rules)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(100, 191)) and kept.columns == df.columns
+
+
 def test_repeat_words_by_brute_force(spark, docs):
     def brute(text):
         w = words(text)
@@ -159,6 +170,19 @@ def test_machine_equals_the_sum_over_pairs():
     np.testing.assert_allclose(classifier.FactorMachine(0.3, w, v).logit(x), slow)
 
 
+def test_training_rows_are_one_of_each_id(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i}", i) for i in range(5000)] + [(None, "x", 1)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 3, "doc_id long, quality int")
+    x, y = classifier.training_rows(docs, labels, F.lit(True), "quality", most=40)
+    assert x.shape == (40, classifier.WIDTH) and set(y) == {0.0, 1.0}
+
+
+def test_metadata_is_a_feature():
+    a, b, c = (classifier.features("some text", m) for m in ((10,), (100_000,), (None,)))
+    meta = slice(classifier.WIDTH - classifier.BINS, None)
+    assert not (a[meta] == b[meta]).all() and not c[meta].any() and (a[: meta.start] == c[: meta.start]).all()
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     r = classifier.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()

@@ -3,8 +3,9 @@
 import hashlib
 
 import corpus_pipeline
-from barline.llm import mixing, pieces, pii, quality_rules, simhash
-from tests.llm.test_operators import brute_components, words
+from barline.llm import mixing, pieces, pii, quality_rules
+from tests.llm.test_near_dedup import grams, true_groups
+from tests.llm.test_operators import words
 
 
 def test_pipeline_by_brute_force(spark, sf_dir):
@@ -12,9 +13,8 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     flagged = {r["doc_id"]: r["kept"] for r in quality_rules.query(spark, sf_dir).collect()}
     left = {r["doc_id"]: r for r in docs.collect() if flagged[r["doc_id"]]}
     ids = sorted(left)
-    fps = [int.from_bytes(simhash.wide_fingerprint(left[i]["text"])[0].tobytes(), "little") for i in ids]
-    roots = brute_components(ids, fps, simhash.wide_radius(0.8))
-    ids = [i for i, r in zip(ids, roots) if i == r]
+    roots = true_groups([grams(left[i]["text"]) for i in ids])
+    ids = [i for k, (i, r) in enumerate(zip(ids, roots)) if k == r]
     kept = spark.createDataFrame([left[i] for i in ids], docs.schema)
     texts = {r["doc_id"]: (r["text"], r["source"]) for r in pii.pseudonymise(kept, pii.DEMO_KEY).collect()}
     sizes = spark.createDataFrame([(s, len(words(t))) for t, s in texts.values()], "source string, size long")
