@@ -14,9 +14,10 @@ of one anchor occurrence are a run of starts; the bytes they span are a segment.
    first occurrence holds for the kind's others.  So a kind found twice, whole copies included, is
    compared byte by byte between two of its occurrences; further ones rest on the 128 bits.
 3. Anchors with more than ``MAX_KINDS`` kinds don't meet in one task: their segments are taken apart
-   into blocks of ``BLOCK`` windows that meet by the bytes all windows of a block hold, and single
-   windows of blocks that meet another.  Two occurrences of each window found twice then go through
-   a suffix array of their own.
+   into blocks of ``BLOCK`` windows that meet by the bytes all windows of a block hold, and go
+   through suffix arrays in the same way.  Blocks that more than ``MAX_KINDS`` kinds share all but a
+   few bytes of are taken apart into single windows; two occurrences of each window found twice then
+   go through a suffix array of their own.
 
 Bytes are covered by what was found in 2 and 3, judged on the input.  The text is shuffled by id
 once to fetch segments and once for the final cut.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm.common import documents, durable
@@ -330,44 +331,79 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: (n, id, t, start, bytes) -> a row per block: core, n, id, t, start, from, window hashes.
+    """mapInArrow: (n, id, t, start, bytes) -> a row per block: core, h, n, id, t, segment's start, start, windows.
 
     Blocks are cut at fixed distances from the anchor, so equal windows lie in equal blocks; ``core``
-    hashes the bytes that all windows of a full block share.
+    hashes the bytes that all windows of a full block share, ``h`` those of the block.
     """
     for b in batches:
         out = []
         for count, i, t, start, raw in zip(*(b.column(c).to_pylist() for c in range(5))):
             h = Hashes(np.frombuffer(raw, np.uint8))
-            p = np.arange(len(raw) - LENGTH + 1)
-            w = named(raw, p, p + LENGTH).view(np.int64)
-            q = np.arange(LENGTH - GRAM + 1)
+            n, q = len(raw) - LENGTH + 1, np.arange(LENGTH - GRAM + 1)
             anchor = int(((h.of(q, q + GRAM) & ~PLACE) | q.astype(np.uint64)).argmin())
-            near = np.arange((anchor - len(p) + 1) // BLOCK if anchor >= len(p) - 1 else 0, anchor // BLOCK + 1) * BLOCK
-            lo, hi = np.maximum(0, anchor - near), np.minimum(len(raw), anchor - near + LENGTH - BLOCK + 1)
-            cores = named(raw, lo, hi).view(np.int64)
-            for d, core in zip(near.tolist(), cores.tolist()):
-                lo, hi = max(0, anchor - d - BLOCK + 1), min(len(p), anchor - d + 1)
-                out.append((core, count, i, t, start, start + lo, w[lo:hi]))
-        kinds = [*[pa.int64()] * 6, pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], ["core", "n", "id", "t", "start", "from", "w"])
-
-
-def hot_coverage(segs: DataFrame) -> DataFrame:
-    """(n, id, t, start, raw), a row per kind -> (id, t, from, to): windows found twice, of kinds with n = 1."""
-    segs = durable(segs, "suffix-hot")
-    blocks = segs.select("n", "id", "t", "start", "raw").mapInArrow(_blocks, "core long, n long, id long, t long, start long, from long, w array<long>")
+            near = np.arange((anchor - n + 1) // BLOCK if anchor >= n - 1 else 0, anchor // BLOCK + 1) * BLOCK
+            cores = named(raw, np.maximum(0, anchor - near), np.minimum(len(raw), anchor - near + LENGTH - BLOCK + 1)).view(np.int64)
+            lo, hi = np.maximum(0, anchor - near - BLOCK + 1), np.minimum(n, anchor - near + 1)
+            own = named(raw, lo, hi + LENGTH - 1).view(np.int64)
+            out += [(c, k, count, i, t, start, start + x, y - x) for c, k, x, y in zip(cores.tolist(), own.tolist(), lo.tolist(), hi.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 8)], ["core", "h", "n", "id", "t", "seg", "start", "own"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: (core, n, id, t, segment's start, start, bytes) of blocks -> the same with the windows' hashes."""
+    for b in batches:
+        w = []
+        for raw in b.column(6).to_pylist():
+            p = np.arange(len(raw) - LENGTH + 1)
+            w.append(named(raw, p, p + LENGTH).view(np.int64))
+        yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(w, pa.list_(pa.int64()))], ["core", "n", "id", "t", "seg", "start", "w"])
+
+
+def _places(alone: Column) -> Column:
+    """A kind with one occurrence is its own place (rep -1); else two stand for it (0 and 1)."""
+    first = [F.struct(F.lit(r).alias("rep"), F.col(c).alias("p")) for r, c in ((-1, "one"), (0, "one"), (1, "two"))]
+    return F.explode(F.when(alone, F.array(first[0])).otherwise(F.array(*first[1:]))).alias("r")
+
+
+def _spread(found: DataFrame, same: DataFrame) -> DataFrame:
+    """What ``same`` (as ``FOUND``) holds for all rows (anchor, h, id, t, start) of its kinds."""
+    alone = same.where("rep = -1").select("id", "t", "from", "to")
+    rest = same.where("rep = 0").select("anchor", "h", (F.col("from") - F.col("start")).alias("lo"), (F.col("to") - F.col("start")).alias("hi"))
+    return alone.union(found.join(rest, ["anchor", "h"]).select("id", "t", (F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi")).alias("to")))
+
+
+def hot_coverage(segs: DataFrame, max_kinds: int) -> DataFrame:
+    """(n, id, t, start, raw), a row per kind -> (id, t, from, to) for kinds with n = 1 at least."""
+    segs = durable(segs, "suffix-hot").select("n", "id", "t", F.col("start").alias("seg"), "raw")
+    blocks = segs.select("n", "id", "t", "seg", "raw").mapInArrow(_blocks, "core long, h long, n long, id long, t long, seg long, start long, own long")
     blocks = durable(blocks, "suffix-blocks")
-    twice = blocks.groupBy("core").count().where("count > 1").select("core")
-    open_ = blocks.join(twice, "core", "left_semi").select("core", "n", "id", "t", "start", "from", F.posexplode("w").alias("k", "w"))
-    open_ = durable(open_.withColumn("from", F.col("from") + F.col("k")).drop("k"), "suffix-windows")
-    place = F.struct("id", "t", "start", "from")
-    found = open_.groupBy("core", "w").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two")).where("c > 1")
-    reps = found.select(F.col("core").alias("anchor"), F.col("w").alias("h"), F.posexplode(F.array("one", "two")).alias("rep", "p")).select("anchor", "h", "rep", "p.*")
-    raw = F.substring("raw", (F.col("from") - F.col("start") + 1).cast("int"), F.lit(LENGTH))
-    fetched = segs.select("id", "t", "start", "raw").join(reps, ["id", "t", "start"]).select("anchor", "h", "rep", "id", "t", F.col("from").alias("start"), raw.alias("raw"))
-    sure = fetched.repartition("anchor", "h").sortWithinPartitions("anchor", "h").select("h", *fetched.columns).mapInArrow(_compare, FOUND).where("rep = 0").select(F.col("anchor").alias("core"), F.col("h").alias("w")).distinct()
-    return open_.where("n = 1").join(durable(sure, "suffix-sure"), ["core", "w"], "left_semi").select("id", "t", "from", (F.col("from") + LENGTH).alias("to"))
+    place = F.struct("id", "t", "seg", "start", "own")
+    kinds = blocks.groupBy("core", "h").agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two"))
+    kinds = durable(kinds, "suffix-block-kinds")
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"))
+    raw = F.substring("raw", (F.col("start") - F.col("seg") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int")).alias("raw")
+    text = segs.select("id", "t", "seg", "raw")
+
+    few = kinds.join(cores.where(F.col("kinds") <= max_kinds), "core").where("c > 1 or kinds > 1").select("core", "h", _places(F.col("c") == 1)).select("core", "h", "r.rep", "r.p.*")
+    few = text.join(few, ["id", "t", "seg"]).select(F.col("core").alias("anchor"), "h", "rep", "id", "t", "start", raw)
+    same = few.repartition("anchor").sortWithinPartitions("anchor").select("anchor", *few.columns).mapInArrow(_compare, FOUND)
+    found = blocks.where("n = 1").select(F.col("core").alias("anchor"), "h", "id", "t", "start")
+    out = _spread(found, durable(same, "suffix-block-found"))
+    crowded = cores.where(F.col("kinds") > max_kinds).select("core")
+    if crowded.isEmpty():
+        return out
+
+    # blocks of too many kinds share all but a few bytes: their single windows meet
+    open_ = text.join(blocks.join(crowded, "core", "left_semi"), ["id", "t", "seg"]).select("core", "n", "id", "t", "seg", "start", raw)
+    open_ = open_.mapInArrow(_windows, "core long, n long, id long, t long, seg long, start long, w array<long>").select("core", "n", "id", "t", "seg", "start", F.posexplode("w").alias("k", "w"))
+    open_ = durable(open_.withColumn("start", F.col("start") + F.col("k")).drop("k"), "suffix-windows")
+    twice = open_.groupBy("core", "w").agg(F.count("*").alias("c"), F.min(place_ := F.struct("id", "t", "seg", "start")).alias("one"), F.max(place_).alias("two")).where("c > 1")
+    pairs = twice.select(F.col("core").alias("anchor"), F.col("w").alias("h"), _places(F.lit(False))).select("anchor", "h", "r.rep", "r.p.*")
+    raw = F.substring("raw", (F.col("start") - F.col("seg") + 1).cast("int"), F.lit(LENGTH)).alias("raw")
+    pairs = text.join(pairs, ["id", "t", "seg"]).select("anchor", "h", "rep", "id", "t", "start", raw)
+    sure = pairs.repartition("anchor", "h").sortWithinPartitions("anchor", "h").select("h", *pairs.columns).mapInArrow(_compare, FOUND)
+    return out.union(_spread(open_.where("n = 1").select(F.col("core").alias("anchor"), F.col("w").alias("h"), "id", "t", "start"), durable(sure, "suffix-sure")))
 
 
 def hot_anchors(found: DataFrame) -> DataFrame:
@@ -397,9 +433,7 @@ def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS, unique: bool = False)
     of_hot = kinds.where("salt <> 0").groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("of_hot"))
     kinds = kinds.join(F.broadcast(durable(of_hot, "suffix-hot-kinds")), F.col("anchor") == F.col("a"), "left").withColumn("kinds", F.coalesce("of_hot", "kinds"))
     kinds = kinds.where("n > 1 or kinds > 1").withColumn("many", F.col("kinds") > max_kinds)
-    # a kind with one occurrence is its own place (rep -1); else two stand for it (0 and 1)
-    reps = F.when(F.col("n") == 1, F.array(F.struct(F.lit(-1).alias("rep"), F.col("one").alias("p")))).otherwise(F.array(F.struct(F.lit(0).alias("rep"), F.col("one").alias("p")), F.struct(F.lit(1).alias("rep"), F.col("two").alias("p"))))
-    wanted = kinds.select(*key, "many", F.explode(reps).alias("r")).select(*key, "many", "r.rep", "r.p.*")
+    wanted = kinds.select(*key, "many", _places(F.col("n") == 1)).select(*key, "many", "r.rep", "r.p.*")
     bare = docs.select(F.col("id").alias("i2"), F.col("t").alias("t2"), "text")
     bare = bare if unique else bare.dropDuplicates(["i2", "t2"])
     raw = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), (F.col("own") + (LENGTH - 1)).cast("int"))
@@ -410,13 +444,10 @@ def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS, unique: bool = False)
     # of a crowded anchor only the occurrences of one kind meet here
     meet = segs.where("not many or rep >= 0").withColumn("side", F.when(F.col("many"), F.col("h")).otherwise(0))
     same = meet.repartition("anchor", "side").sortWithinPartitions("anchor", "side").select(F.when(F.col("many"), F.col("side")).otherwise(F.col("anchor")), *key, "rep", "id", "t", "start", "raw").mapInArrow(_compare, FOUND)
-    same = durable(same, "suffix-found")
-    alone = same.where("rep = -1").select("id", "t", "from", "to")
-    spread = same.where("rep = 0").select(*key, (F.col("from") - F.col("start")).alias("lo"), (F.col("to") - F.col("start")).alias("hi"))
-    out = alone.union(found.join(spread, key).select("id", "t", (F.col("start") + F.col("lo")).alias("from"), (F.col("start") + F.col("hi")).alias("to")))
+    out = _spread(found, durable(same, "suffix-found"))
     if some_many:
         n = F.when(F.col("rep") == -1, 1).otherwise(2).cast("long")
-        out = out.union(hot_coverage(segs.where("many and rep <= 0").select(n.alias("n"), "id", "t", "start", "raw")))
+        out = out.union(hot_coverage(segs.where("many and rep <= 0").select(n.alias("n"), "id", "t", "start", "raw"), max_kinds))
     return out
 
 
