@@ -28,9 +28,9 @@ from barline.llm.common import documents, fresh, words_of
 SYMBOLS = r"[#*$%&|<>]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: The cascade is planned on at most this many rows.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 1_000
 #: So often each sampled row is worked out for a measurable time.
-PASSES = 4
+PASSES = 2
 
 
 @dataclass(frozen=True)
