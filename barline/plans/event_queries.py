@@ -36,7 +36,7 @@ def sql_rounded(cols: list[str], **places: int) -> str:
 
 EARN = """er AS (
   SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'R' WHEN 'P' THEN 'N' END AS ticker, CAST(o_orderdate AS DATE) AS event_date,
-         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN (o_totalprice - 250000) / 10000 END AS surprise_pct FROM orders WHERE o_orderkey % 50 = 0
+         CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN (o_totalprice - 250000) / 10000 END AS surprise_pct FROM orders
 )"""
 query(
     "next_earnings",
