@@ -38,34 +38,44 @@ def ledger_sink(predictions: DataFrame, path: str, checkpoint: str):
 
 
 GRADED = "ticker string, as_of date, horizon_days int, resolved_on date, end_price double, outcome_up boolean"
+#: Bars of a ticker that are kept, for predictions that come late.
+KEEP_BARS = 300
 
 
-def grade_stream(rows: DataFrame, most_pending: int | None = None) -> DataFrame:
+def grade_stream(rows: DataFrame, keep_bars: int = KEEP_BARS) -> DataFrame:
     """(ticker, dt, kind, close, horizon_days) -> graded records as their h-th later bar arrives.
 
-    kind is ``bar`` or ``prediction``; a prediction belongs to the bar of its day and must not come
-    before it.  State per ticker: the pending predictions with their remaining sessions.
+    kind is ``bar`` or ``prediction``.  A prediction belongs to the bar of its day, whichever comes
+    first, and is graded from that bar's close and the h-th bar after it.  One whose day is older
+    than the last ``keep_bars`` bars, or has a later bar but none of its own, can't be graded: it comes
+    out at once with null for what is unknown.  State per ticker: recent bars, open predictions.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = [list(p) for p in state.get[0]] if state.exists else []
-        spot = state.get[1] if state.exists else None
-        out = []
-        rows_ = pd.concat(list(batches)).sort_values(["dt", "kind"])
-        for r in rows_.itertuples():
+        bars = dict(map(tuple, state.get[0])) if state.exists else {}
+        waiting = [tuple(p) for p in state.get[1]] if state.exists else []
+        for r in pd.concat(list(batches)).itertuples():
             if r.kind == "bar":
-                spot = float(r.close)
-                for p in pending:
-                    p[2] -= 1
-                    if p[2] == 0:
-                        out.append((key[0], p[0], p[1], r.dt, spot, spot > p[3]))
-                pending = [p for p in pending if p[2] > 0]
-            elif spot is not None:
-                pending.append([r.dt, int(r.horizon_days), int(r.horizon_days), spot])
-        state.update(([tuple(p) for p in pending], spot))
+                bars[r.dt] = float(r.close)
+            else:
+                waiting.append((r.dt, int(r.horizon_days)))
+        days, out, left = sorted(bars), [], []
+        place = {d: k for k, d in enumerate(days)}
+        for day, h in sorted(waiting):
+            k = place.get(day)
+            if k is None and days and days[-1] > day:
+                out.append((key[0], day, h, None, None, None))
+            elif k is None or k + h >= len(days):
+                left.append((day, h))
+            else:
+                end = bars[days[k + h]]
+                out.append((key[0], day, h, days[k + h], end, end > bars[day]))
+        # a bar that an open prediction starts from stays, with all after it
+        first = min([len(days) - keep_bars, *(place[d] for d, _ in left if d in place)])
+        state.update(([(d, bars[d]) for d in days[max(0, first) :]], left))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in GRADED.split(", ")])
 
-    held = "pending array<struct<as_of:date,h:int,left:int,spot:double>>, spot double"
+    held = "bars array<struct<dt:date,close:double>>, waiting array<struct<as_of:date,h:int>>"
     return rows.groupBy("ticker").applyInPandasWithState(step, GRADED, held, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import ledger
-from barline.streaming import streams
+from barline.streaming import streams, tick
 
 
 def drain(df, name, mode="append"):
@@ -33,17 +34,56 @@ def test_ledger_sink_appends_once(spark, tmp_path):
     assert got.count() == 3 and {r["logged_at"] for r in got.collect()} == {"1"}
 
 
-def test_delayed_grading(spark, tmp_path):
-    days = [dt.date(2020, 1, d) for d in range(1, 11)]
-    bars = [("T", d, "bar", 100.0 + i, None) for i, d in enumerate(days)]
-    preds = [("T", days[0], "prediction", None, 3), ("T", days[8], "prediction", None, 3)]
+def graded(spark, tmp_path, name, parts, **kw):
     path = str(tmp_path / "in")
     schema = "ticker string, dt date, kind string, close double, horizon_days int"
-    for k, part in enumerate((bars[:4] + preds[:1], bars[4:] + preds[1:])):
+    for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = drain(streams.grade_stream(stream), "graded").collect()
-    assert [(r["as_of"], r["resolved_on"], r["end_price"], r["outcome_up"]) for r in got] == [(days[0], days[3], 103.0, True)]
+    return sorted(((r["as_of"], r["horizon_days"], r["resolved_on"], r["end_price"], r["outcome_up"]) for r in drain(streams.grade_stream(stream, **kw), name).collect()), key=lambda r: r[:2])
+
+
+DAYS = [dt.date(2020, 1, d) for d in range(1, 21)]
+BARS = [("T", d, "bar", 100.0 + i * (-1) ** (i // 5), None) for i, d in enumerate(DAYS)]
+CLOSE = {b[1]: b[3] for b in BARS}
+
+
+def prediction(k, h):
+    return ("T", DAYS[k], "prediction", None, h)
+
+
+def test_delayed_grading(spark, tmp_path):
+    got = graded(spark, tmp_path, "graded", (BARS[:4] + [prediction(0, 3)], BARS[4:10] + [prediction(8, 3)]))
+    assert got == [(DAYS[0], 3, DAYS[3], CLOSE[DAYS[3]], True)]
+
+
+def test_late_and_early_predictions_are_graded_from_their_own_day(spark, tmp_path):
+    parts = ([prediction(1, 2)], BARS[:6], [prediction(2, 1), prediction(4, 8), prediction(5, 40)], BARS[6:14])
+    want = [(DAYS[k], h, DAYS[k + h], CLOSE[DAYS[k + h]], CLOSE[DAYS[k + h]] > CLOSE[DAYS[k]]) for k, h in ((1, 2), (2, 1), (4, 8))]
+    assert graded(spark, tmp_path, "graded_late", parts) == want
+
+
+def test_predictions_that_cannot_be_graded_come_out(spark, tmp_path):
+    parts = (BARS[:3] + BARS[4:12], [prediction(3, 2), prediction(0, 2), prediction(10, 1)], BARS[12:])
+    got = graded(spark, tmp_path, "graded_never", parts, keep_bars=4)
+    assert got[:2] == [(DAYS[0], 2, None, None, None), (DAYS[3], 2, None, None, None)]
+    assert got[2:] == [(DAYS[10], 1, DAYS[11], CLOSE[DAYS[11]], CLOSE[DAYS[11]] > CLOSE[DAYS[10]])]
+
+
+def test_tick_retries_waits_and_goes_on():
+    calls, waits = [], []
+
+    def snapshot(g):
+        calls.append(g)
+        if g == "bad" or calls.count(g) < 3 and g == "flaky":
+            raise ValueError(g)
+
+    done, learned = tick.tick(["good", "flaky", "bad"], snapshot, lambda: "w", sleep=waits.append)
+    assert (done, learned, calls.count("flaky"), calls.count("bad"), waits) == (2, "w", 3, 3, [3.0, 6.0, 3.0, 6.0])
+    with pytest.raises(RuntimeError):
+        tick.tick(["bad"], snapshot, lambda: None, sleep=waits.append)
+    state = iter([1, 0, 2])
+    assert tick.run_ticks(lambda: 1 / next(state), 600, rounds=3, sleep=waits.append) == 1 and waits[-2:] == [600, 600]
 
 
 def test_running_average_continues(spark, tmp_path):
