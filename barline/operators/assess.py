@@ -48,7 +48,7 @@ def assess(bars: DataFrame, scored: DataFrame, company: DataFrame, earnings: Dat
     df = df.withColumn("p_up", clip(sigmoid(x), 0.05, 0.95))
     df = df.withColumn("confidence", signals.confidence(F.col("p_up"), F.col("hit_rate"), F.col("baseline"), F.col("effective_n")))
     ranges = volatility.expected_range(bars, h)
-    p = F.broadcast(df.select("ticker", "p_up"))
+    p = df.select("ticker", "p_up")
     plan = planner.trade_plan(ind.join(p, "ticker"), ranges)
     nested = lambda f, name: f.select("ticker", F.struct(*(c for c in f.columns if c != "ticker")).alias(name))
     return df.join(nested(ranges, "expected_range"), "ticker", "left").join(nested(plan, "trade_plan"), "ticker", "left").withColumn("direction", F.when(F.col("p_up") >= 0.5, "up").otherwise("down")).withColumn("horizon_days", F.lit(h))

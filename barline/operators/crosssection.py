@@ -24,12 +24,12 @@ def legs(closes: DataFrame, sign: int, near: int, far: int, hold: int, start: in
     Rebalances every ``hold`` dates from ``start`` on, with at least ten names.
     """
     start = far if start is None else start
-    m = aligned(closes)
+    w = Window.partitionBy("name").orderBy("i")
+    off = lambda k: F.max("lp").over(w.rangeBetween(k, k))
+    m = aligned(closes).withColumns({"lp_exit": off(hold), "lp_near": off(-near), "lp_far": off(-far)})
     last = m.agg((F.max("i") + 1).alias("n_dates"))
     at = m.crossJoin(F.broadcast(last)).where((F.col("i") >= start) & ((F.col("i") - start) % hold == 0) & (F.col("i") < F.col("n_dates") - hold)).drop("n_dates")
-    other = lambda k, c: m.select("name", (F.col("i") + k).alias("i"), F.col("lp").alias(c))
-    j = at.join(other(-hold, "lp_exit"), ["name", "i"]).join(other(near, "lp_near"), ["name", "i"]).join(other(far, "lp_far"), ["name", "i"])
-    j = j.select("i", "name", (sign * (F.col("lp_near") - F.col("lp_far"))).alias("sig"), (F.col("lp_exit") - F.col("lp")).alias("fwd"))
+    j = at.where("lp_exit is not null and lp_near is not null and lp_far is not null").select("i", "name", (sign * (F.col("lp_near") - F.col("lp_far"))).alias("sig"), (F.col("lp_exit") - F.col("lp")).alias("fwd"))
     w = Window.partitionBy("i")
     j = j.withColumn("names", F.count("*").over(w)).where(F.col("names") >= MIN_NAMES).withColumn("rank", F.row_number().over(w.orderBy("sig", "name")))
     q = F.greatest(F.lit(1), F.floor(F.col("names") / 5))

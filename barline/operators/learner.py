@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.config import ADOPT_MARGIN, MIN_RESOLVED, PRIOR_SIGMA, PRIOR_WEIGHTS, WEIGHT_BOUNDS
-from barline.functions.windows import logit, sigmoid
+from barline.functions.windows import logit, placed, sigmoid
 
 KEYS = tuple(PRIOR_WEIGHTS)
 HISTORY = 50
@@ -33,12 +33,15 @@ def design(graded: DataFrame) -> DataFrame:
 
 
 def split(graded: DataFrame) -> DataFrame:
-    """Adds part: train, or test for the last 30 % but no more than 200 records, in time order."""
+    """Adds part: train, or test for the last 30 % but no more than 200 records, in time order.
+
+    Records are numbered within their day; only the numbers of records per day are summed up in one window.
+    """
     d = graded.where("horizon_days = 5 and base is not null and outcome_up is not null")
     d = d.crossJoin(F.broadcast(d.agg(F.count("*").alias("total"))))
-    at = F.row_number().over(Window.orderBy("as_of", "logged_at", "ticker"))
+    d = placed(d, "at", F.col("as_of"), "logged_at", "ticker")
     cut = F.greatest(F.floor(F.col("total") * 0.7), F.col("total") - 200)
-    return d.withColumn("part", F.when(at <= cut, "train").otherwise("test"))
+    return d.withColumn("part", F.when(F.col("at") <= cut, "train").otherwise("test")).drop("at")
 
 
 def _p(w: dict[str, float]):

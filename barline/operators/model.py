@@ -118,7 +118,7 @@ def walk_forward(bars: DataFrame, horizons=WALK_FORWARD) -> DataFrame:
 HELD = "ticker string, base double, p_ml double, hit_rate double, baseline double, holdout_days int, effective_n int, train_rows int"
 
 
-def price_model(bars: DataFrame, h: int = 5, embargo: bool = True) -> DataFrame:
+def price_model(bars: DataFrame, h: int = 5, embargo: bool = False) -> DataFrame:
     """Per ticker base, p_ml of the last session and the holdout of the blended output.
 
     With ``embargo`` the last h training labels before the holdout are left out; without it they

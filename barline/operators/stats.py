@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.windows import draw, sigmoid
+from barline.functions.windows import draw, placed, sigmoid
 
 GRID = [round(-0.60 + 0.02 * k, 2) for k in range(61)]
 #: Clusters up to this count are broadcast as one row each.
@@ -22,7 +22,7 @@ def interval(df: DataFrame, value: str) -> DataFrame:
 def circular_blocks(series: DataFrame, block: int, draws: int, seed: str) -> DataFrame:
     """(key, pos, value) -> (b, key, total): per draw the sum over circular blocks, cut at n values.
 
-    Prefix sums turn each block into two look-ups; the series of one key is one array.
+    The series of one key is one array; a draw sums its blocks, so a key costs draws times its length.
     """
     per = series.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("x"))
     per = per.select("key", F.transform("x", lambda e: e["value"]).alias("v")).withColumn("n", F.size("v"))
@@ -124,12 +124,12 @@ def pooled_summary(graded: DataFrame, *keys: str) -> DataFrame:
 def shuffled_control(graded: DataFrame, seed: str = "shuffle") -> DataFrame:
     """Accuracy against hash-permuted outcomes and what is expected of it.
 
-    Rows pair up with the rows of equal rank in md5 order.
+    Rows in order of ticker and day pair up with the rows of equal place in md5 order.
     """
     d = graded.where("correct is not null").select("ticker", "as_of", (F.col("p_up") >= 0.5).alias("up"), "outcome_up")
     key = F.md5(F.concat_ws(":", F.lit(seed), "ticker", F.col("as_of").cast("string")).cast("binary"))
-    left = d.select(F.row_number().over(Window.orderBy("ticker", "as_of")).alias("r"), "up")
-    right = d.select(F.row_number().over(Window.orderBy(key)).alias("r"), F.col("outcome_up").alias("other"))
+    left = placed(d, "r", F.col("ticker"), "as_of").select("r", "up")
+    right = placed(d.withColumn("key", key), "r", F.substring("key", 1, 3), "key").select("r", F.col("outcome_up").alias("other"))
     p, u = F.avg(F.col("up").cast("int")), F.avg(F.col("other").cast("int"))
     out = left.join(right, "r").agg(F.avg((F.col("up") == F.col("other")).cast("int")).alias("accuracy"), (p * u + (1 - p) * (1 - u)).alias("expected"))
     return out.withColumn("ok", F.abs(F.col("accuracy") - F.col("expected")) < 0.03)

@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barline.config import EWMA_LAMBDA, EWMA_SEED, RANGE_QUANTILES
-from barline.functions.windows import by_ticker, finite, lag
+from barline.functions.windows import by_ticker, finite, lag, placed
 from barline.sources.tables import sessions
 
 
@@ -89,7 +89,7 @@ def fit_quantiles(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def graded(rows: DataFrame, q: DataFrame, *keys: str) -> DataFrame:
-    j = rows.join(F.broadcast(q), list(keys)) if keys else rows.crossJoin(F.broadcast(q))
+    j = rows.join(q, list(keys)) if keys else rows.crossJoin(F.broadcast(q))
     inside = F.col("fwd").between(F.col("qlo") * F.col("sig"), F.col("qhi") * F.col("sig"))
     width = (F.expm1(F.col("qhi") * F.col("sig")) - F.expm1(F.col("qlo") * F.col("sig"))) * 100
     return j.withColumn("inside", inside.cast("double")).withColumn("width", width)
@@ -102,8 +102,24 @@ def regimes(rows: DataFrame) -> DataFrame:
 
 
 def leave_one_out(rows: DataFrame) -> DataFrame:
-    """Coverage per ticker with quantiles from all others."""
-    held = rows.select(F.col("ticker").alias("held")).distinct()
-    others = rows.join(F.broadcast(held), F.col("ticker") != F.col("held"))
-    q = fit_quantiles(others, "held").withColumnRenamed("held", "ticker")
+    """Coverage per ticker with quantiles from all others.
+
+    Rows are placed once in the order of z, and once among their ticker's own.  The k-th of all others
+    is the (k + j)-th of all, where j own rows come before it: those whose place in all, less that
+    among their own, is at most k.  So each row is read once per quantile, not once per other ticker.
+    """
+    bucket = F.floor(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("z"))) * 256)
+    order = placed(rows, "place", bucket, "z", "ticker", "i").select("ticker", "z", (F.col("place") - 1).alias("place"))
+    own = order.withColumn("own", F.row_number().over(Window.partitionBy("ticker").orderBy("place")) - 1)
+    n = rows.groupBy("ticker").agg(F.count("*").alias("n"))
+    n = n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("ticker", (F.col("all") - F.col("n")).alias("n")).where("n > 0")
+    at = lambda p: F.lit(p) * (F.col("n") - 1)
+    ks = [F.struct(F.lit(p).alias("p"), at(p).alias("at"), f(at(p)).cast("long").alias("k")) for p in (0.1, 0.9) for f in (F.floor, F.ceil)]
+    wanted = n.select("ticker", F.explode(F.array_distinct(F.array(*ks))).alias("w")).select("ticker", "w.*")
+    before = own.join(wanted, "ticker").groupBy("ticker", "p", "at", "k").agg(F.count_if(F.col("place") - F.col("own") <= F.col("k")).alias("j"))
+    met = before.withColumn("place", F.col("k") + F.col("j")).join(order.select("place", "z"), "place")
+    # linear between the two neighbours; one row if the place is whole
+    share = F.when(F.col("k") == F.col("at"), F.lit(1.0)).otherwise(1 - F.abs(F.col("at") - F.col("k")))
+    value = lambda p: F.sum(F.when(F.col("p") == p, share * F.col("z")))
+    q = met.groupBy("ticker").agg(value(0.1).alias("qlo"), value(0.9).alias("qhi"))
     return graded(rows, q, "ticker").groupBy("ticker").agg(F.avg("inside").alias("coverage"))
