@@ -48,6 +48,11 @@ def _sql_unescape(c: str, entities=ENTITIES) -> str:
     return c
 
 
+def _sql_strip(c: str) -> str:
+    blanks = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
+    return f"regexp_replace({c}, '^{blanks}|{blanks}$', '', 'g')"
+
+
 def _sql_clean(c: str) -> str:
     return f"substr(trim(regexp_replace({_sql_unescape(f'''regexp_replace({c}, '<[^>]+>', ' ', 'g')''')}, '[\\s\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', ' ', 'g')), 1, 300)"
 
@@ -127,7 +132,7 @@ query(
 query(
     "feed_entries",
     f"""WITH {ARTICLES}, e AS (SELECT source AS feed, row_number() OVER (PARTITION BY source ORDER BY article_id) - 1 AS pos, * FROM art)
-SELECT feed, CAST(pos AS INT) AS pos, trim({_sql_unescape('title')}) AS title, {_sql_clean('summary')} AS summary, published FROM e WHERE pos < 40 AND trim({_sql_unescape('title')}) <> ''""",
+SELECT feed, CAST(pos AS INT) AS pos, {_sql_strip(_sql_unescape('title'))} AS title, {_sql_clean('summary')} AS summary, published FROM e WHERE pos < 40 AND {_sql_strip(_sql_unescape('title'))} <> ''""",
 )(lambda s, d: news.parse_feed(_entries(s, d)).select("feed", "pos", "title", "summary", "published"))
 
 
