@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,12 +57,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the ``durable`` tables made inside, but for kept ones, at the end or on a failure."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def durable(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage; unlike a local checkpoint the table outlives a lost executor.
+    This cuts the lineage; unlike a local checkpoint the table outlives a lost executor.  It goes with
+    the innermost ``scratch`` around it, or (keep) with the next one outwards; without one it stays for
+    the folder's owner to clear, as a result that is read later needs it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barline/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents, durable
+from barline.llm.common import documents, durable, scratch
 
 SEED = 42
 RADIUS = 2
@@ -231,12 +231,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, text) rows -> doc_id, fp (long), component_id: the smallest doc_id reachable."""
     rows = durable(fingerprints(df), "simhash-rows")
+    with scratch(df.sparkSession):
+        by_class = _fingerprint_components(rows, radius)
+    return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
+
+
+def _fingerprint_components(rows: DataFrame, radius: int) -> DataFrame:
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
     roots = components(links(classes, radius))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = durable(rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components")
-    return rows.join(by_class, rows["fp"] == by_class["__fp"]).select("doc_id", "fp", "component_id")
+    return durable(rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id"), "simhash-components", keep=True)
 
 
 #: Up to so many ids are broadcast (8 bytes each, or 16 with their group).
@@ -428,7 +433,8 @@ def deduplicate(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows that repeat an id are one document.  Rows with a null id all stay.
     """
-    found = durable(similar_components(df, similarity), "simhash-found")
+    with scratch(df.sparkSession):
+        found = durable(similar_components(df, similarity), "simhash-found", keep=True)
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
 
     kept = by_ids(copies, "doc_id", lambda ids: df.join(ids, "doc_id", "left_anti").select(*df.columns))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import documents, durable
+from barline.llm.common import documents, durable, scratch
 
 LENGTH = 400
 GRAM = 32
@@ -417,10 +417,16 @@ def hot_anchors(found: DataFrame) -> DataFrame:
 
 
 def coverage(docs: DataFrame, max_kinds: int = MAX_KINDS, unique: bool = False) -> DataFrame:
-    """(id, t, text) -> (id, t, from, to): byte ranges that hold a string found elsewhere.
+    """(id, t, text) -> (id, t, ranges): byte ranges (from, to) that hold a string found elsewhere.
 
-    ``unique`` tells that no two rows share id and t.
+    ``unique`` tells that no two rows share id and t.  Only this table stays of those written here.
     """
+    with scratch(docs.sparkSession):
+        found = _ranges(docs, max_kinds, unique)
+        return durable(found.groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges")), "suffix-cover", keep=True)
+
+
+def _ranges(docs: DataFrame, max_kinds: int, unique: bool) -> DataFrame:
     key = ["anchor", "h"]
     found = durable(anchors(docs), "suffix-anchors")
     hot = hot_anchors(found)
@@ -479,8 +485,7 @@ def prepared(df: DataFrame) -> tuple[DataFrame, bool]:
 def remove_repeats(df: DataFrame, max_kinds: int = MAX_KINDS) -> DataFrame:
     """(doc_id, text) -> doc_id, kept (binary), n_bytes, n_removed, n_spans."""
     docs, unique = prepared(df)
-    cover = coverage(docs, max_kinds, unique).groupBy("id", "t").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("ranges"))
-    joined = docs.join(cover, ["id", "t"], "left").select("id", "text", "ranges")
+    joined = docs.join(coverage(docs, max_kinds, unique), ["id", "t"], "left").select("id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
