@@ -9,7 +9,6 @@ from barline.config import HALF_LIFE_COMPANY, HALF_LIFE_MACRO, HORIZONS, PRIOR_W
 from barline.functions.windows import clip, logit, sigmoid
 from barline.operators import events, news, planner, signals, volatility
 from barline.operators.indicators import base_rate, indicators
-from barline.sources.tables import last_rows
 
 
 def horizon_days(key: str | None) -> int:
@@ -31,7 +30,8 @@ def assess(bars: DataFrame, scored: DataFrame, company: DataFrame, earnings: Dat
     is an optional frame of ``model.price_model``.
     """
     ind = base_rate(signals.signals(indicators(bars)), h).withColumn("base", F.coalesce("base_at", F.lit(0.5)))
-    df = last_rows(signals.explained(ind)).select("ticker", F.col("dt").alias("as_of"), F.col("close").alias("price"), "base", "tech", "signals")
+    kept = ("dt", "base", "tech", "signals")
+    df = planner.plan_facts(signals.explained(ind), *kept).withColumnRenamed("dt", "as_of")
     if model is None:
         df = df.withColumns({k: F.lit(None).cast("double") for k in ("p_ml", "hit_rate", "baseline", "effective_n")})
     else:
@@ -48,10 +48,10 @@ def assess(bars: DataFrame, scored: DataFrame, company: DataFrame, earnings: Dat
     df = df.withColumn("p_up", clip(sigmoid(x), 0.05, 0.95))
     df = df.withColumn("confidence", signals.confidence(F.col("p_up"), F.col("hit_rate"), F.col("baseline"), F.col("effective_n")))
     ranges = volatility.expected_range(bars, h)
-    p = df.select("ticker", "p_up")
-    plan = planner.trade_plan(ind.join(p, "ticker"), ranges)
+    plan = planner.trade_plan(df, ranges)
     nested = lambda f, name: f.select("ticker", F.struct(*(c for c in f.columns if c != "ticker")).alias(name))
-    return df.join(nested(ranges, "expected_range"), "ticker", "left").join(nested(plan, "trade_plan"), "ticker", "left").withColumn("direction", F.when(F.col("p_up") >= 0.5, "up").otherwise("down")).withColumn("horizon_days", F.lit(h))
+    facts = ("atr", "entry_fill_pct", *planner.MODES)
+    return df.drop(*facts).join(nested(ranges, "expected_range"), "ticker", "left").join(nested(plan, "trade_plan"), "ticker", "left").withColumn("direction", F.when(F.col("p_up") >= 0.5, "up").otherwise("down")).withColumn("horizon_days", F.lit(h))
 
 
 def payload(assessed: DataFrame) -> DataFrame:

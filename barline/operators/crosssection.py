@@ -13,9 +13,11 @@ KINDS = {"str1w": (-1, 0, 5), "str1m": (-1, 0, 21), "mom12_1": (1, 21, 252)}
 
 
 def aligned(closes: DataFrame) -> DataFrame:
-    """(name, wk, close) -> (name, i, lp): i counts the dates that any name has."""
-    dates = closes.select("wk").distinct().withColumn("i", F.row_number().over(Window.orderBy("wk")) - 1)
-    return closes.where("close > 0").join(dates, "wk").select("name", "i", F.log("close").alias("lp"))
+    """(name, wk, close) -> (name, i, n_dates, lp): i counts the dates that any name has, n_dates is their number."""
+    w = Window.orderBy("wk")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dates = closes.select("wk").distinct().withColumns({"i": F.row_number().over(w) - 1, "n_dates": F.count("*").over(every)})
+    return closes.where("close > 0").join(dates, "wk").select("name", "i", "n_dates", F.log("close").alias("lp"))
 
 
 def legs(closes: DataFrame, sign: int, near: int, far: int, hold: int, start: int | None = None) -> DataFrame:
@@ -27,8 +29,7 @@ def legs(closes: DataFrame, sign: int, near: int, far: int, hold: int, start: in
     w = Window.partitionBy("name").orderBy("i")
     off = lambda k: F.max("lp").over(w.rangeBetween(k, k))
     m = aligned(closes).withColumns({"lp_exit": off(hold), "lp_near": off(-near), "lp_far": off(-far)})
-    last = m.agg((F.max("i") + 1).alias("n_dates"))
-    at = m.crossJoin(F.broadcast(last)).where((F.col("i") >= start) & ((F.col("i") - start) % hold == 0) & (F.col("i") < F.col("n_dates") - hold)).drop("n_dates")
+    at = m.where((F.col("i") >= start) & ((F.col("i") - start) % hold == 0) & (F.col("i") < F.col("n_dates") - hold))
     j = at.where("lp_exit is not null and lp_near is not null and lp_far is not null").select("i", "name", (sign * (F.col("lp_near") - F.col("lp_far"))).alias("sig"), (F.col("lp_exit") - F.col("lp")).alias("fwd"))
     w = Window.partitionBy("i")
     j = j.withColumn("names", F.count("*").over(w)).where(F.col("names") >= MIN_NAMES).withColumn("rank", F.row_number().over(w.orderBy("sig", "name")))
@@ -45,7 +46,9 @@ def spreads(legs_: DataFrame) -> DataFrame:
 def spread_stats(spread: DataFrame, hold: int, per_year: float = 252.0, least: int = MIN_REBALANCES) -> DataFrame:
     """Mean, annualised Sharpe ratio gross and net, hit rate and halves; no row under ``least`` rebalances."""
     cost = 4 * COST_BPS / 1e4
-    d = spread.withColumn("r", F.row_number().over(Window.orderBy("i"))).crossJoin(F.broadcast(spread.agg(F.count("*").alias("n"))))
+    w = Window.orderBy("i")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = spread.withColumns({"r": F.row_number().over(w), "n": F.count("*").over(every)})
     sd = F.stddev_samp("spread")
     sharpe = lambda mu: F.when(sd > 0, mu / sd * math.sqrt(per_year / hold)).otherwise(0.0)
     half = F.floor(F.col("n") / 2)

@@ -83,6 +83,12 @@ def study_rows(bars: DataFrame, method: str, h: int = 5, start: int = 60) -> Dat
     return r.select("ticker", "i", "sig", "fwd", (F.col("fwd") / F.col("sig")).alias("z"))
 
 
+def by_parity(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Adds tunes: true for every other ticker of ``bars`` in their order, from the first on; the rest validate."""
+    order = bars.select("ticker").distinct().withColumn("tunes", F.row_number().over(Window.orderBy("ticker")) % 2 == 1)
+    return rows.join(order, "ticker")
+
+
 def fit_quantiles(rows: DataFrame, *keys: str) -> DataFrame:
     """Linear-interpolated 10 % and 90 % quantiles of z."""
     return rows.groupBy(*keys).agg(F.percentile("z", 0.1).alias("qlo"), F.percentile("z", 0.9).alias("qhi"))

@@ -176,7 +176,7 @@ SELECT ticker, mode, round(price, 2) AS price, round(atr, 2) AS atr, round(price
   sample_n, target_first_pct, stop_first_pct, neither_pct, target_within_10_pct, net_level_edge_pct
 FROM now JOIN st USING (ticker, mode) LEFT JOIN fs USING (ticker) LEFT JOIN sg USING (ticker)""",
     ),
-)(lambda s, d: (lambda b: planner.trade_plan(signals.price_only(b), volatility.expected_range(b, 5)))(src.bars(s, d)))
+)(lambda s, d: (lambda b: planner.trade_plan(planner.plan_facts(signals.price_only(b), "p_up"), volatility.expected_range(b, 5)))(src.bars(s, d)))
 
 # The volatility study.
 _STUDY = (
@@ -198,11 +198,11 @@ def _study(s, d) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-#: Tickers by ordinal: even ones tune, odd ones validate.
-TUNE, VALIDATE = ("A", "R"), ("N",)
-query("vol_study_quantiles", sql.select(_STUDY, "SELECT method, count(*) AS n, round(quantile_cont(z, 0.1), 6) AS qlo, round(quantile_cont(z, 0.9), 6) AS qhi FROM st WHERE ticker IN ('A', 'R') GROUP BY method"))(
+#: Even tickers by ordinal tune, odd ones validate.
+_PARTS = ", od AS (SELECT ticker, (row_number() OVER (ORDER BY ticker) - 1) % 2 = 0 AS tunes FROM (SELECT DISTINCT ticker FROM ix)), tune AS (SELECT st.* FROM st JOIN od USING (ticker) WHERE tunes), valid AS (SELECT st.* FROM st JOIN od USING (ticker) WHERE NOT tunes)"
+query("vol_study_quantiles", sql.select(_STUDY + _PARTS, "SELECT method, count(*) AS n, round(quantile_cont(z, 0.1), 6) AS qlo, round(quantile_cont(z, 0.9), 6) AS qhi FROM tune GROUP BY method"))(
     lambda s, d: (lambda r: volatility.fit_quantiles(r, "method").join(r.groupBy("method").agg(F.count("*").alias("n")), "method").select("method", "n", F.round("qlo", 6).alias("qlo"), F.round("qhi", 6).alias("qhi")))(
-        _study(s, d).where(F.col("ticker").isin(*TUNE))
+        volatility.by_parity(_study(s, d), src.bars(s, d)).where("tunes")
     )
 )
 
@@ -210,9 +210,9 @@ query("vol_study_quantiles", sql.select(_STUDY, "SELECT method, count(*) AS n, r
 def _vol_regimes(s, d):
     out = None
     for m in ("rolling21", "ewma97"):
-        r = volatility.study_rows(src.bars(s, d), m)
-        q = volatility.fit_quantiles(r.where(F.col("ticker").isin(*TUNE)))
-        g = volatility.graded(volatility.regimes(r.where(F.col("ticker").isin(*VALIDATE))), q)
+        r = volatility.by_parity(volatility.study_rows(src.bars(s, d), m), src.bars(s, d))
+        q = volatility.fit_quantiles(r.where("tunes"))
+        g = volatility.graded(volatility.regimes(r.where("not tunes")), q)
         g = g.groupBy("regime").agg(F.count("*").alias("n"), F.round(F.avg("inside"), 6).alias("coverage"), F.round(F.avg("width"), 4).alias("width")).withColumn("method", F.lit(m))
         out = g if out is None else out.unionByName(g)
     return out
@@ -221,11 +221,11 @@ def _vol_regimes(s, d):
 query(
     "vol_study_regimes",
     sql.select(
-        _STUDY,
-        """, q AS (SELECT method, quantile_cont(z, 0.1) AS qlo, quantile_cont(z, 0.9) AS qhi FROM st WHERE ticker IN ('A', 'R') GROUP BY method),
-e AS (SELECT method, quantile_cont(sig, 1.0::DOUBLE / 3) AS e1, quantile_cont(sig, 2.0::DOUBLE / 3) AS e2 FROM st WHERE ticker = 'N' GROUP BY method),
-g AS (SELECT st.method, (sig >= e1)::INT + (sig >= e2)::INT AS regime, (fwd BETWEEN qlo * sig AND qhi * sig)::INT::DOUBLE AS inside, ((exp(qhi * sig) - 1) - (exp(qlo * sig) - 1)) * 100 AS width
-  FROM st JOIN q USING (method) JOIN e USING (method) WHERE ticker = 'N')
+        _STUDY + _PARTS,
+        """, q AS (SELECT method, quantile_cont(z, 0.1) AS qlo, quantile_cont(z, 0.9) AS qhi FROM tune GROUP BY method),
+e AS (SELECT method, quantile_cont(sig, 1.0::DOUBLE / 3) AS e1, quantile_cont(sig, 2.0::DOUBLE / 3) AS e2 FROM valid GROUP BY method),
+g AS (SELECT valid.method, (sig >= e1)::INT + (sig >= e2)::INT AS regime, (fwd BETWEEN qlo * sig AND qhi * sig)::INT::DOUBLE AS inside, ((exp(qhi * sig) - 1) - (exp(qlo * sig) - 1)) * 100 AS width
+  FROM valid JOIN q USING (method) JOIN e USING (method))
 SELECT method, regime, count(*) AS n, round(avg(inside), 6) AS coverage, round(avg(width), 4) AS width FROM g GROUP BY ALL""",
     ),
 )(_vol_regimes)
