@@ -32,3 +32,19 @@ PHRASE_STEP = 0.35
 
 # Company name endings that do not count as part of the name.
 COMPANY_ENDINGS = "inc|incorporated|corp|corporation|company|co|plc|ltd|limited|holdings?|group|technologies|technology|international|sa|nv|ag|se"
+
+# The words of the published rules for social-media sentiment (negations, intensity, idioms, step sizes).
+NEGATIONS = set(
+    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt mustnt neither neednt never none nope nor not nothing nowhere "
+    "oughtnt shant shouldnt uhuh uh-uh wasnt werent without wont wouldnt rarely seldom despite".split()
+)
+MORE = set(
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous enormously entirely especially exceptional exceptionally "
+    "extreme extremely fabulously flipping flippin frackin fracking fricking frickin frigging friggin fully fuckin fucking fuggin fugging greatly hella highly "
+    "hugely incredible incredibly intensely major majorly more most particularly purely quite really remarkably so substantially thoroughly total totally "
+    "tremendous tremendously uber unbelievably unusually utter utterly very".split()
+)
+LESS = set("almost barely hardly kinda kindof kind-of less little marginal marginally occasional occasionally partly scarce scarcely slight slightly somewhat sorta sortof sort-of".split()) | {"just enough", "kind of", "sort of"}
+IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2.0, "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9}
+BOOST, CAPITALS, NEGATED, NEVER_SO, FADE = 0.293, 0.733, -0.74, 1.25, (1.0, 0.95, 0.9)
+BEFORE_BUT, AFTER_BUT, EXCLAIM, ASK, ASK_MOST, NORMAL = 0.5, 1.5, 0.292, 0.18, 0.96, 15.0

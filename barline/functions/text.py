@@ -5,12 +5,16 @@ from __future__ import annotations
 import html
 import math
 import re
+import string
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from barline.functions.lexicon import COMPANY_ENDINGS, FINANCE, PHRASE_DOWN, PHRASE_STEP, PHRASE_UP
+from barline.functions.lexicon import (
+    AFTER_BUT, ASK, ASK_MOST, BEFORE_BUT, BOOST, CAPITALS, COMPANY_ENDINGS, EXCLAIM, FADE, FINANCE, IDIOMS, LESS, MORE, NEGATED, NEGATIONS, NEVER_SO, NORMAL,
+    PHRASE_DOWN, PHRASE_STEP, PHRASE_UP,
+)
 from barline.functions.windows import clip
 
 def unescape(c: Column) -> Column:
@@ -80,38 +84,89 @@ def sentiment(text: Column, lexicon: dict[str, float] = FINANCE) -> Column:
     return clip(lexicon_score(text, lexicon) + phrase_boost(text), -1.0, 1.0)
 
 
-NEGATIONS = {"not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "without", "cannot", "hardly", "rarely", "seldom", "barely"}
-BOOSTERS = {w: 0.293 for w in ("very", "extremely", "really", "so", "hugely", "highly", "remarkably", "sharply", "strongly", "most")} | {w: -0.293 for w in ("slightly", "somewhat", "marginally", "partly", "almost", "scarcely", "kind", "little")}
+class _Sentence:
+    """A text's words with what the rules ask of them."""
+
+    def __init__(self, text: str, lexicon: dict[str, float]):
+        bare = ((w, w.strip(string.punctuation)) for w in text.split())
+        self.words = [b if len(b) > 2 else w for w, b in bare]
+        self.low = [w.lower() for w in self.words]
+        self.lexicon = lexicon
+        self.shouts = 0 < sum(w.isupper() for w in self.words) < len(self.words)
+
+    def at(self, i: int) -> str:
+        return self.low[i] if 0 <= i < len(self.low) else ""
+
+    def span(self, i: int, j: int) -> str:
+        """Words i to j, empty unless all are there."""
+        return " ".join(self.low[i : j + 1]) if 0 <= i and j < len(self.low) else ""
+
+    def loud(self, i: int) -> float:
+        return CAPITALS if self.shouts and self.words[i].isupper() else 0.0
+
+    def boost(self, i: int, sign: int) -> float:
+        """What the word before a valued one of that sign adds, capitals included."""
+        w = self.low[i]
+        step = BOOST if w in MORE else -BOOST if w in LESS else 0.0
+        return sign * (step + self.loud(i)) if step else 0.0
+
+    def negation(self, i: int, k: int) -> float:
+        """Factor that the word ``k`` places before word ``i`` brings."""
+        w, between = self.at(i - k), {self.at(i - j) for j in range(1, k)}
+        if k > 1 and w == "never" and between & {"so", "this"}:
+            return NEVER_SO
+        if k > 1 and w == "without" and "doubt" in between:
+            return 1.0
+        return NEGATED if w in NEGATIONS or "n't" in w else 1.0
+
+    def idiom(self, i: int, v: float) -> float:
+        spans = [(i - 1, i), (i - 2, i), (i - 2, i - 1), (i - 3, i - 1), (i - 3, i - 2), (i, i + 1), (i, i + 2)]
+        for k, (a, b) in enumerate(spans):
+            if (said := self.span(a, b)) in IDIOMS:
+                v = IDIOMS[said]
+                if k < 5:
+                    break
+        for a, b in ((i - 3, i - 1), (i - 3, i - 2), (i - 2, i - 1)):
+            if self.span(a, b) in LESS:
+                v -= BOOST
+        return v
+
+    def valence(self, i: int) -> float:
+        w = self.low[i]
+        if w not in self.lexicon or w in MORE or w in LESS or self.span(i, i + 1) == "kind of":
+            return 0.0
+        v = self.lexicon[w]
+        if w == "no" and self.at(i + 1) in self.lexicon:
+            v = 0.0
+        if "no" in (self.at(i - 1), self.at(i - 2)) or (self.at(i - 3) == "no" and self.at(i - 1) in ("or", "nor")):
+            v = self.lexicon[w] * NEGATED
+        v += self.loud(i) * (1 if v > 0 else -1)
+        for k in (1, 2, 3):
+            if i >= k and self.low[i - k] not in self.lexicon:
+                v += FADE[k - 1] * self.boost(i - k, -1 if v < 0 else 1)
+                v *= self.negation(i, k)
+                if k == 3:
+                    v = self.idiom(i, v)
+        least = self.at(i - 1) == "least" and "least" not in self.lexicon
+        return v * NEGATED if least and self.at(i - 2) not in ("at", "very") else v
 
 
 def rule_score(text: str | None, lexicon: dict[str, float]) -> float:
-    """The published rule set on top of word valences: negation, boosters, capitals, "but", marks."""
-    words = [w.strip(".,;:!?\"'()[]") for w in (text or "").split()]
-    low = [w.lower() for w in words]
-    shout = any(w.isupper() for w in words) and not all(w.isupper() for w in words if w.isalpha())
-    scores = []
-    for i, w in enumerate(low):
-        v = lexicon.get(w, 0.0) if w not in BOOSTERS else 0.0
-        if v:
-            sign = 1 if v > 0 else -1
-            if shout and words[i].isupper():
-                v += 0.733 * sign
-            for k in (1, 2, 3):
-                if i - k >= 0 and low[i - k] not in lexicon:
-                    b = BOOSTERS.get(low[i - k], 0.0) * sign
-                    v += b * (1, 0.95, 0.9)[k - 1]
-                    if low[i - k] in NEGATIONS or low[i - k].endswith("n't"):
-                        v *= -0.74
-        scores.append(v)
-    if "but" in low:
-        at = low.index("but")
-        scores = [s * (0.5 if i < at else 1.5 if i > at else 1) for i, s in enumerate(scores)]
-    total = sum(scores)
-    marks = min((text or "").count("!"), 4) * 0.292
-    asks = (text or "").count("?")
-    marks += 0 if asks < 2 else asks * 0.18 if asks <= 3 else 0.96
-    total += marks if total > 0 else -marks if total < 0 else 0
-    return max(-1.0, min(1.0, total / math.sqrt(total * total + 15))) if total else 0.0
+    """The published rule set on top of word valences, to four places: negation, intensity, capitals, idioms, "but", marks.
+
+    A null, empty or neutral text scores 0.  Emoji count only if the list has them.
+    """
+    text = text or ""
+    s = _Sentence(text, lexicon)
+    scores = [s.valence(i) for i in range(len(s.low))]
+    if "but" in s.low:
+        at = s.low.index("but")
+        scores = [v * (BEFORE_BUT if i < at else AFTER_BUT if i > at else 1) for i, v in enumerate(scores)]
+    total = float(sum(scores))
+    asks = text.count("?")
+    marks = min(text.count("!"), 4) * EXCLAIM + (0 if asks < 2 else asks * ASK if asks <= 3 else ASK_MOST)
+    total += math.copysign(marks, total) if total else 0.0
+    return round(max(-1.0, min(1.0, total / math.sqrt(total * total + NORMAL))), 4)
 
 
 def rule_sentiment(lexicon: dict[str, float]):

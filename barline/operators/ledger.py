@@ -25,19 +25,32 @@ def new_records(df: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, read_only: bool = False) -> None:
-    """Appends what the JSON-lines ledger at ``path`` lacks; a read-only writer does nothing."""
+    """Appends what the JSON-lines ledger at ``path`` lacks; a read-only writer does nothing.
+
+    The ledger has a folder per day; only those of the batch's days are read (and lines outside such
+    folders).  Two writers at once may both append a record; ``records`` shows the first logged one.
+    """
     if not read_only:
         spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        old = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        fresh = new_records(df, read(spark, path)) if old else first_logged(df)
-        fresh.write.mode("append").json(path)
+        day = F.to_date("as_of")
+        # one row per day of the batch, whatever its size
+        days = [r[0] for r in df.select(day).distinct().collect()]
+        folders = [f"{path}/day={'__HIVE_DEFAULT_PARTITION__' if d is None else d}" for d in days]
+        as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old = [x for x in [*folders, f"{path}/*.json"] if fs.globStatus(as_path(x))]
+        fresh = new_records(df, read(spark, *old)) if old else first_logged(df)
+        fresh.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+
+
+def read(spark, *paths: str) -> DataFrame:
+    """All lines as logged; corrupt lines are skipped."""
+    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(list(paths))
 
 
-def read(spark, path: str) -> DataFrame:
-    """Corrupt lines are skipped."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def records(spark, path: str) -> DataFrame:
+    """One record per key, the first logged one, however many writers there were."""
+    return first_logged(read(spark, path))
 
 
 def resolve(records: DataFrame, bars: DataFrame, horizons=(5, 21)) -> DataFrame:

@@ -54,14 +54,17 @@ def explained(scored: DataFrame) -> DataFrame:
         F.when(c("sma200").isNotNull(), _side(c("sma50") > c("sma200"), "50-day above 200-day (long-term uptrend)", "50-day below 200-day (long-term downtrend)")),
     )
     state = lambda v, lo, hi, names: F.when(v <= lo, names[0]).when(v >= hi, names[1]).otherwise(names[2])
+    # The wording has to equal the surveyed one.
     text = {
         "s_trend": trend,
         "s_momentum": F.format_string("%+.1f%% over the last 21 sessions", c("r21") * 100),
-        "s_rsi": F.concat(F.format_string("RSI %.0f: ", c("rsi14")), state(c("rsi14"), 30, 70, ("oversold", "overbought", "neutral zone"))),
+        "s_rsi": F.concat(F.format_string("RSI %.0f — ", c("rsi14")), state(c("rsi14"), 30, 70, ("oversold; rebounds often follow", "overbought; pullback risk", "neutral zone"))),
         "s_macd": F.concat(F.lit("histogram "), F.when(c("s_macd") == 0.6, "bullish and strengthening").when(c("s_macd") == 0.2, "bullish but fading").when(c("s_macd") == -0.2, "bearish but improving").otherwise("bearish and weakening")),
-        "s_bollinger": F.when(c("s_bollinger") < 0, "closed above the upper band").when(c("s_bollinger") > 0, "closed below the lower band").otherwise(F.format_string("inside the bands (%%B %.2f)", c("bb_pctb"))),
-        "s_stochastic": F.concat(F.format_string("%%K %.0f: ", c("stoch_k")), state(c("stoch_k"), 20, 80, ("oversold", "overbought", "neutral"))),
-        "s_volume": F.concat(F.format_string("%.1fx average volume", c("vol_ratio")), F.when(c("s_volume") > 0, " on an up day").when(c("s_volume") < 0, " on a down day").otherwise("")),
+        "s_bollinger": F.when(c("s_bollinger") < 0, "closed above the upper band — stretched").when(c("s_bollinger") > 0, "closed below the lower band — stretched down").otherwise(F.format_string("inside the bands (%%B %.2f)", c("bb_pctb"))),
+        "s_stochastic": F.concat(F.format_string("%%K %.0f — ", c("stoch_k")), state(c("stoch_k"), 20, 80, ("oversold", "overbought", "neutral"))),
+        "s_volume": F.when(c("s_volume") > 0, F.format_string("%.1f× average volume on an up day (accumulation)", c("vol_ratio")))
+        .when(c("s_volume") < 0, F.format_string("%.1f× average volume on a down day (distribution)", c("vol_ratio")))
+        .otherwise(F.format_string("volume near its recent average (%.1f×)", c("vol_ratio"))),
     }
     parts = [F.when(c(k).isNotNull(), F.struct(F.lit(name).alias("name"), c(k).alias("score"), text[k].alias("text"), F.lit(w).alias("weight"))) for name, k, w in RULES]
     return scored.withColumn("signals", F.filter(F.array(*parts), lambda x: x.isNotNull()))

@@ -23,40 +23,39 @@ def interval(df: DataFrame, value: str) -> DataFrame:
 CHUNK = 1 << 16
 
 
-def _places(series: DataFrame) -> DataFrame:
-    """(key, pos, value) -> (key, at, n, value): places from 0 within each key, by pos, then value."""
-    kind = dict(series.dtypes)["pos"]
-    day = F.unix_date(F.col("pos").cast("date")) if kind in ("date", "timestamp") else F.col("pos").cast("long")
-    order = placed(series, "place", F.struct("key", F.floor(day / 256).alias("pos")), "pos", "value")
-    n = series.groupBy("key").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return order.join(n.withColumn("before", before), "key").select("key", (F.col("place") - 1 - F.col("before")).alias("at"), "n", "value")
-
-
 def circular_blocks(series: DataFrame, block: int, draws: int, seed: str) -> DataFrame:
     """(key, pos, value) -> (b, key, total): per draw the sum over circular blocks, cut at n values.
 
-    Every place knows its sum over a whole block and over the last, shorter one; a draw looks one of them
-    up per block, so it costs n / block rows.  Series are worked on in chunks of places and draws in
-    slices, whatever the length of one key.
+    Every place (from 0, by pos, then value) knows its sum over a whole block and over the last, shorter
+    one; a draw looks one of them up per block, so it costs n / block rows.  Places come from counts per
+    range of pos, sums are made in chunks of places and draws in slices, however long one key's series is.
     """
-    v = _places(series)
+    kind = dict(series.dtypes)["pos"]
+    day = F.unix_date(F.col("pos").cast("date")) if kind in ("date", "timestamp") else F.col("pos").cast("long")
+    df = series.withColumn("range", F.floor(day / 4096))
+    per = df.groupBy("key", "range").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("key").orderBy("range")
+    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    every = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = per.select("key", "range", upto.alias("before"), every.alias("n"))
+    at = F.col("before") + F.row_number().over(Window.partitionBy("key", "range").orderBy("pos", "value")) - 1
+    v = df.join(starts, ["key", "range"]).select("key", "n", "value", at.alias("at"))
     # the series goes on at its start; each chunk sees the block - 1 places after its end
-    v = v.unionByName(v.where(F.col("at") < block - 1).withColumn("at", F.col("at") + F.col("n")))
+    again = F.when(F.col("at") < block - 1, F.col("at") + F.col("n"))
+    v = v.withColumn("at", F.explode(F.array_compact(F.array("at", again))))
     size = max(CHUNK, block)
     home = F.floor(F.col("at") / size)
     v = v.withColumn("chunk", F.explode(F.array_distinct(F.array(home, F.greatest(F.lit(0), F.floor((F.col("at") - (block - 1)) / size))))))
     ahead = F.collect_list("value").over(Window.partitionBy("key", "chunk").orderBy("at").rowsBetween(0, block - 1))
     v = v.withColumn("ahead", ahead).where((F.col("chunk") == home) & (F.col("at") < F.col("n")))
-    last = F.col("n") - (F.ceil(F.col("n") / block) - 1) * block
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    sums = v.select("key", F.col("at").alias("start"), total(F.slice("ahead", F.lit(1), F.least(F.lit(block).cast("long"), F.col("n")).cast("int"))).alias("whole"), total(F.slice("ahead", F.lit(1), last.cast("int"))).alias("cut"))
-    keys = series.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    blocks = F.ceil(F.col("n") / block)
+    total = lambda k: F.aggregate(F.slice("ahead", F.lit(1), k.cast("int")), F.lit(0.0), lambda s, x: s + x)
+    sums = v.select("key", F.col("at").alias("start"), total(F.least(F.lit(block), F.col("n"))).alias("whole"), total(F.col("n") - (blocks - 1) * block).alias("cut"))
+    keys = per.groupBy("key").agg(F.sum("c").alias("n")).withColumn("blocks", blocks)
     # (key, draw, slice of blocks) are dealt evenly before blocks are written out
     rows = keys.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / CHUNK))))
     rows = rows.repartition("key", "b", "part")
-    from_, to = F.col("part") * CHUNK, F.least(F.col("blocks"), (F.col("part") + 1) * CHUNK) - 1
-    rows = rows.withColumn("blk", F.explode(F.sequence(from_, to)))
+    rows = rows.withColumn("blk", F.explode(F.sequence(F.col("part") * CHUNK, F.least(F.col("blocks"), (F.col("part") + 1) * CHUNK) - 1)))
     start = F.pmod(draw(F.lit(seed), F.col("key"), F.col("b"), F.col("blk")), F.col("n"))
     met = rows.select("key", "b", start.alias("start"), (F.col("blk") == F.col("blocks") - 1).alias("ends")).join(sums, ["key", "start"])
     return met.groupBy("b", "key").agg(F.sum(F.when(F.col("ends"), F.col("cut")).otherwise(F.col("whole"))).alias("total"))

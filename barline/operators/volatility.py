@@ -101,10 +101,16 @@ def graded(rows: DataFrame, q: DataFrame, *keys: str) -> DataFrame:
     return j.withColumn("inside", inside.cast("double")).withColumn("width", width)
 
 
-def regimes(rows: DataFrame) -> DataFrame:
-    """Adds regime 0, 1, 2 by terciles of the forecast (an edge belongs to the upper bin)."""
-    e = rows.agg(F.percentile("sig", 1 / 3).alias("e1"), F.percentile("sig", 2 / 3).alias("e2"))
-    return rows.crossJoin(F.broadcast(e)).withColumn("regime", (F.col("sig") >= F.col("e1")).cast("int") + (F.col("sig") >= F.col("e2")).cast("int")).drop("e1", "e2")
+def validated(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that validate, graded by the quantiles of those that tune, with regime 0, 1, 2.
+
+    Regimes are terciles of the validating rows' forecasts; an edge belongs to the upper bin.
+    """
+    tunes = F.col("tunes")
+    at = lambda when, c, p: F.percentile(F.when(when, F.col(c)), p)
+    fit = rows.groupBy(*keys).agg(at(tunes, "z", 0.1).alias("qlo"), at(tunes, "z", 0.9).alias("qhi"), at(~tunes, "sig", 1 / 3).alias("e1"), at(~tunes, "sig", 2 / 3).alias("e2"))
+    regime = (F.col("sig") >= F.col("e1")).cast("int") + (F.col("sig") >= F.col("e2")).cast("int")
+    return graded(rows.where(~tunes), fit, *keys).withColumn("regime", regime).drop("e1", "e2")
 
 
 def leave_one_out(rows: DataFrame) -> DataFrame:

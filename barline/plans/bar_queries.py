@@ -110,11 +110,11 @@ query(
   SELECT ticker, 'Trend' AS name, s_trend AS score, 1.2::DOUBLE AS weight, 'price ' || CASE WHEN "close" > sma50 THEN 'above' ELSE 'below' END || ' its 50-day average'
     || CASE WHEN sma200 IS NULL THEN '' WHEN sma50 > sma200 THEN '; 50-day above 200-day (long-term uptrend)' ELSE '; 50-day below 200-day (long-term downtrend)' END AS text FROM rated WHERE i = n - 1
   UNION ALL SELECT ticker, 'Momentum (1 month)', s_momentum, 1.0, printf('%+.1f%% over the last 21 sessions', r21 * 100) FROM rated WHERE i = n - 1
-  UNION ALL SELECT ticker, 'RSI (14)', s_rsi, 1.0, printf('RSI %.0f: ', rsi14) || CASE WHEN rsi14 <= 30 THEN 'oversold' WHEN rsi14 >= 70 THEN 'overbought' ELSE 'neutral zone' END FROM rated WHERE i = n - 1
+  UNION ALL SELECT ticker, 'RSI (14)', s_rsi, 1.0, printf('RSI %.0f — ', rsi14) || CASE WHEN rsi14 <= 30 THEN 'oversold; rebounds often follow' WHEN rsi14 >= 70 THEN 'overbought; pullback risk' ELSE 'neutral zone' END FROM rated WHERE i = n - 1
   UNION ALL SELECT ticker, 'MACD', s_macd, 1.0, 'histogram ' || CASE s_macd WHEN 0.6 THEN 'bullish and strengthening' WHEN 0.2 THEN 'bullish but fading' WHEN -0.2 THEN 'bearish but improving' ELSE 'bearish and weakening' END FROM rated WHERE i = n - 1
-  UNION ALL SELECT ticker, 'Bollinger bands', s_bollinger, 0.7, CASE WHEN s_bollinger < 0 THEN 'closed above the upper band' WHEN s_bollinger > 0 THEN 'closed below the lower band' ELSE printf('inside the bands (%%B %.2f)', bb_pctb) END FROM rated WHERE i = n - 1
-  UNION ALL SELECT ticker, 'Stochastic', s_stochastic, 0.6, printf('%%K %.0f: ', stoch_k) || CASE WHEN stoch_k <= 20 THEN 'oversold' WHEN stoch_k >= 80 THEN 'overbought' ELSE 'neutral' END FROM rated WHERE i = n - 1
-  UNION ALL SELECT ticker, 'Volume', s_volume, 0.6, printf('%.1fx average volume', vol_ratio) || CASE WHEN s_volume > 0 THEN ' on an up day' WHEN s_volume < 0 THEN ' on a down day' ELSE '' END FROM rated WHERE i = n - 1
+  UNION ALL SELECT ticker, 'Bollinger bands', s_bollinger, 0.7, CASE WHEN s_bollinger < 0 THEN 'closed above the upper band — stretched' WHEN s_bollinger > 0 THEN 'closed below the lower band — stretched down' ELSE printf('inside the bands (%%B %.2f)', bb_pctb) END FROM rated WHERE i = n - 1
+  UNION ALL SELECT ticker, 'Stochastic', s_stochastic, 0.6, printf('%%K %.0f — ', stoch_k) || CASE WHEN stoch_k <= 20 THEN 'oversold' WHEN stoch_k >= 80 THEN 'overbought' ELSE 'neutral' END FROM rated WHERE i = n - 1
+  UNION ALL SELECT ticker, 'Volume', s_volume, 0.6, CASE WHEN s_volume > 0 THEN printf('%.1f× average volume on an up day (accumulation)', vol_ratio) WHEN s_volume < 0 THEN printf('%.1f× average volume on a down day (distribution)', vol_ratio) ELSE printf('volume near its recent average (%.1f×)', vol_ratio) END FROM rated WHERE i = n - 1
 ) SELECT * FROM long WHERE score IS NOT NULL""",
     ),
 )(lambda s, d: signals.explained(src.last_rows(signals.price_only(src.bars(s, d)))).select("ticker", F.inline("signals")))
@@ -208,14 +208,8 @@ query("vol_study_quantiles", sql.select(_STUDY + _PARTS, "SELECT method, count(*
 
 
 def _vol_regimes(s, d):
-    out = None
-    for m in ("rolling21", "ewma97"):
-        r = volatility.by_parity(volatility.study_rows(src.bars(s, d), m), src.bars(s, d))
-        q = volatility.fit_quantiles(r.where("tunes"))
-        g = volatility.graded(volatility.regimes(r.where("not tunes")), q)
-        g = g.groupBy("regime").agg(F.count("*").alias("n"), F.round(F.avg("inside"), 6).alias("coverage"), F.round(F.avg("width"), 4).alias("width")).withColumn("method", F.lit(m))
-        out = g if out is None else out.unionByName(g)
-    return out
+    g = volatility.validated(volatility.by_parity(_study(s, d), src.bars(s, d)), "method")
+    return g.groupBy("method", "regime").agg(F.count("*").alias("n"), F.round(F.avg("inside"), 6).alias("coverage"), F.round(F.avg("width"), 4).alias("width"))
 
 
 query(

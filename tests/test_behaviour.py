@@ -204,6 +204,69 @@ def test_rule_sentiment():
     assert s("good!!!") > s("good") and s("GOOD day") > s("good day") and s("good but bad") < 0 and s("") == s(None) == 0
 
 
+def test_rule_sentiment_by_hand():
+    norm = lambda x: round(x / (x * x + 15) ** 0.5, 4)
+    lex = {"good": 1.9, "bad": -2.5, "no": -1.2, "heart": 1.0, "ass": -2.5}
+    cases = {
+        "very good": 1.9 + 0.293,
+        "very , good": 1.9 + 0.95 * 0.293,
+        "it is VERY good": 1.9 + 0.293 + 0.733,
+        "barely bad": -2.5 + 0.293,
+        "isn't good": -0.74 * 1.9,
+        "never so good": (1.9 + 0.293) * 1.25,
+        "without doubt good": 1.9,
+        "least good": -0.74 * 1.9,
+        "at least good": 1.9,
+        "no good": -0.74 * 1.9,
+        "a day of kind of good": 1.9 - 0.293,
+        "with a broken heart": -2.9,
+        "what a bad ass day": -2.5 + 1.5,
+        "good but bad": 1.9 * 0.5 - 2.5 * 1.5,
+        "GOOD day!!!!!!": 1.9 + 0.733 + 4 * 0.292,
+        "bad ???": -2.5 - 3 * 0.18,
+        "bad ?????": -2.5 - 0.96,
+        "": 0.0,
+    }
+    assert {t: tx.rule_score(t, lex) for t in cases} == {t: norm(v) for t, v in cases.items()}
+
+
+def test_ledger_reads_only_the_days_of_a_batch(spark, sf_dir, tmp_path):
+    from barline.sources import tables
+
+    rows = tables.ledger(spark, sf_dir)
+    rows = rows.select([F.col(c).cast("string") if c == "logged_at" else F.col(c) for c in rows.columns]).cache()
+    days = [r[0] for r in rows.select("as_of").distinct().orderBy("as_of").limit(4).collect()]
+    path = str(tmp_path / "ledger")
+    ledger.append(rows.where(F.col("as_of").isin(days[:2])), path)
+    ledger.append(rows.where(F.col("as_of").isin(days[1:])), path)
+    assert sorted(p.name for p in (tmp_path / "ledger").glob("day=*")) == [f"day={d}" for d in days]
+    want = ledger.first_logged(rows.where(F.col("as_of").isin(days)))
+    assert ledger.read(spark, path).count() == want.count()
+    # another writer's copy of the lines changes no record
+    twice = str(tmp_path / "twice")
+    for _ in range(2):
+        ledger.read(spark, path).write.mode("append").json(twice)
+    assert ledger.records(spark, twice).count() == want.count()
+
+
+def test_circular_blocks_against_a_loop(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(stats, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    series = {"a": 23, "b": 3, "c": 1, "d": 10}
+    rows = [(k, 9000 * p if k == "a" else p, float(rng.normal())) for k, n in series.items() for p in range(n)]
+    got = {(r["b"], r["key"]): r["total"] for r in stats.circular_blocks(spark.createDataFrame(rows, "key string, pos int, value double"), 5, 6, "s").collect()}
+    want = {}
+    for k, n in series.items():
+        v = [x for q, _, x in rows if q == k]
+        for b in range(6):
+            blocks = -(-n // 5)
+            starts = [int(hashlib.md5(f"s:{k}:{b}:{j}".encode()).hexdigest()[:8], 16) % n for j in range(blocks)]
+            want[b, k] = sum(v[(s + o) % n] for j, s in enumerate(starts) for o in range(min(5, n - 5 * j)))
+    assert got == pytest.approx(want)
+
+
 def test_feeds_and_wires_know_all_entities(spark):
     from html import unescape
     from html.entities import html5
