@@ -75,6 +75,38 @@ def test_logistic_fit_is_a_minimum():
     assert model.fit_logistic(x, np.ones(400)) is None
 
 
+def test_holdout_against_a_twin(spark, bars):
+    """All columns of the holdout from features and labels laid out by hand, fitted by damped fixed-point steps."""
+
+    def fit(x, y):
+        m, sd = x.mean(0), x.std(0)
+        z = np.column_stack([np.ones(len(y)), (x - m) / sd])
+        w, keep = np.zeros(z.shape[1]), np.r_[0.0, np.ones(z.shape[1] - 1)]
+        bound = np.linalg.inv(0.5 * z.T @ z / 4 + np.diag(keep))  # curvature is nowhere larger
+        for _ in range(5000):
+            w = w - bound @ (0.5 * z.T @ (1 / (1 + np.exp(-z @ w)) - y) + keep * w)
+        return lambda q: 1 / (1 + np.exp(-(w[0] + ((q - m) / sd) @ w[1:])))
+
+    frame = model.scored(spark.createDataFrame(bars)).orderBy("dt").toPandas()
+    x, c, tech = frame[model.COLUMNS].to_numpy(float), frame["close"].to_numpy(float), frame["tech"].to_numpy(float)
+    h, n = 5, len(c)
+    rows = [i for i in range(n - h) if frame["complete"][i]]
+    y = np.array([float(c[i + h] > c[i]) for i in rows])
+    base = [np.mean([c[j] > c[j - h] for j in range(h, i + 1)]) if i >= h + 29 else 0.5 for i in range(n)]
+    k = 60
+    for embargo in (False, True):
+        train = [a for a, i in enumerate(rows[:-k]) if not embargo or i + h <= rows[-k]]
+        p_ml = fit(x[[rows[a] for a in train]], y[train])(x[rows[-k:]])
+        logit = lambda p: np.log(np.clip(p, 0.03, 0.97) / (1 - np.clip(p, 0.03, 0.97)))
+        b = logit(np.array([base[i] for i in rows[-k:]]))
+        p = 1 / (1 + np.exp(-(b + 0.15 * (logit(p_ml) - b) + 0.10 * tech[rows[-k:]])))
+        got = model.price_model(spark.createDataFrame(bars), h, embargo).first()
+        assert (got["train_rows"], got["holdout_days"], got["effective_n"]) == (len(train), k, k // h)
+        assert got["baseline"] == pytest.approx(y[-k:].mean(), abs=6e-4) and got["base"] == pytest.approx(base[-1], abs=6e-4)
+        assert got["hit_rate"] == pytest.approx(np.mean((p >= 0.5) == (y[-k:] > 0.5)), abs=6e-4)
+        assert got["p_ml"] == pytest.approx(fit(x[rows], y)(x[-1:])[0], abs=2e-4)
+
+
 def test_zero_loss_leaves_rsi_null(spark):
     b = gbm(40)
     b["close"] = np.arange(1.0, 41.0)
