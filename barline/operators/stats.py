@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.windows import draw, placed, sigmoid
+from barline.functions.windows import draw, magnitude, placed, sigmoid
 
 GRID = [round(-0.60 + 0.02 * k, 2) for k in range(61)]
 #: Clusters up to this count are broadcast as one row each.
@@ -98,7 +98,12 @@ def cluster_bootstrap(partials: DataFrame, draws: int, seed: str, value: Column)
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Rank AUC with mid-ranks, from counts per distinct score; null if a class is empty."""
     per = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(score).agg(F.sum(F.col(y).cast("int")).alias("p"), F.count("*").alias("c"))
-    below = F.coalesce(F.sum(F.col("c") - F.col("p")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # scores may be as many as rows: ranks count whole buckets of scores first, then within one
+    per = per.withColumn("__bucket", magnitude(F.col(score).cast("double")))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = per.groupBy("__bucket").agg(F.sum(F.col("c") - F.col("p")).alias("__q"))
+    per = per.join(buckets.select("__bucket", earlier(Window.orderBy("__bucket"), "__q").alias("__before")), "__bucket")
+    below = F.col("__before") + earlier(Window.partitionBy("__bucket").orderBy(score), F.col("c") - F.col("p"))
     per = per.withColumn("q", F.col("c") - F.col("p")).withColumn("u", F.col("p") * (below + F.col("q") / 2))
     return per.agg(F.sum("c").alias("n"), F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 

@@ -198,6 +198,17 @@ def test_auc_against_pairs(spark):
     assert stats.auc(spark.createDataFrame(rows, "s double, y boolean"), "s", "y").first()["auc"] == pytest.approx(want)
 
 
+def test_auc_over_buckets(spark):
+    rng = np.random.default_rng(5)
+    score = np.r_[rng.normal(0, 1, 150), rng.normal(0, 1e6, 100), rng.integers(-3, 3, 50), [float("inf"), -float("inf"), 1e300, -1e300, 0.0, -0.0]]
+    y = rng.random(len(score)) < 0.4
+    pos, neg = score[y], score[~y]
+    want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+    df = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(score, y)], "s double, y boolean")
+    r = stats.auc(df, "s", "y").first()
+    assert r["n"] == len(score) and r["auc"] == pytest.approx(want)
+
+
 def test_pead_tilt(spark):
     rows = [("A", 15.0, 1), ("B", -15.0, 1), ("C", 15.0, 30), ("D", 5000.0, 0)]
     r = spark.createDataFrame(rows, "ticker string, surprise_pct double, sessions_ago int")
