@@ -59,6 +59,25 @@ def payload(assessed: DataFrame) -> DataFrame:
     return assessed.select("ticker", F.to_json(F.struct(*assessed.columns)).alias("json"))
 
 
+def cards(assessed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One short card per ticker of ``assess``, with the quote's change; plan is null where there is none."""
+    c, plan = F.col, F.col("trade_plan")
+    taken = {"mode": "mode", "buy_at": "entry_pullback", "sell_at": "target", "stop_at": "stop", "sessions": "median_sessions_to_target", "sell_odds_pct": "target_first_pct"}
+    return assessed.join(quotes.select("ticker", "change_pct"), "ticker", "left").select(
+        "ticker",
+        "price",
+        "change_pct",
+        "direction",
+        F.round("p_up", 3).alias("prob_up"),
+        "confidence",
+        signals.trails(c("hit_rate"), c("baseline"), c("effective_n")).alias("caveat_flag"),
+        F.round("base", 3).alias("drift"),
+        F.round("tech", 3).alias("tech_score"),
+        c("news_company").alias("news_score"),
+        F.when(plan.isNotNull(), F.struct(*(plan[k].alias(name) for name, k in taken.items()))).alias("plan"),
+    )
+
+
 def ledger_rows(assessed: DataFrame, version: str, logged_at: Column) -> DataFrame:
     """The records to log, weekly horizon only."""
     r4, r3 = (lambda c: F.round(c, 4)), (lambda c: F.round(c, 3))

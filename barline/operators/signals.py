@@ -78,13 +78,18 @@ def blend(base: Column, tech: Column, p_ml: Column | None = None, weights: dict[
     return sigmoid(x + weights["tech"] * tech)
 
 
+def trails(hit: Column, baseline: Column, effective_n: Column) -> Column:
+    """Whether the holdout trails always-up by more than one standard error; false without a holdout."""
+    return F.coalesce(hit < baseline - F.sqrt(0.25 / effective_n), F.lit(False))
+
+
 def confidence(p: Column, hit: Column | None = None, baseline: Column | None = None, effective_n: Column | None = None) -> Column:
-    """high / medium / low by distance from one half; low if the holdout trails by more than one standard error."""
+    """high / medium / low by distance from one half; low if the holdout trails."""
     edge = F.abs(p - 0.5)
     tier = F.when(edge >= CONFIDENCE_HIGH, "high").when(edge >= CONFIDENCE_MEDIUM, "medium").otherwise("low")
     if hit is None:
         return tier
-    return F.when(F.coalesce(hit < baseline - F.sqrt(0.25 / effective_n), F.lit(False)), "low").otherwise(tier)
+    return F.when(trails(hit, baseline, effective_n), "low").otherwise(tier)
 
 
 def price_only(bars: DataFrame, h: int = 5) -> DataFrame:

@@ -281,6 +281,7 @@ def assessment(s, d, h):
 
 
 query("assess_weekly", None)(lambda s, d: assess.payload(assessment(s, d, 5)))
+query("snapshot", None)(lambda s, d: assess.cards(assessment(s, d, 5), src.quote(src.bars(s, d))))
 query("assess_monthly", None)(lambda s, d: assess.payload(assessment(s, d, 21)))
 
 # Events.

@@ -30,3 +30,20 @@ def test_assessment_payload(spark, sf_dir):
     from pyspark.sql import functions as F
 
     assert assess.ledger_rows(a, "1", F.lit("now")).count() == 0
+
+
+def test_cards_show_the_assessment(spark, sf_dir):
+    quotes = tables.quote(tables.bars(spark, sf_dir))
+    a = event_queries.assessment(spark, sf_dir, 5).cache()
+    whole, quoted = {r["ticker"]: r for r in a.collect()}, {r["ticker"]: r for r in quotes.collect()}
+    got = assess.cards(a, quotes).collect()
+    assert len(got) == len(whole) == 3
+    for r in got:
+        w, q = whole[r["ticker"]], quoted[r["ticker"]]
+        assert (r["price"], r["change_pct"], r["direction"], r["confidence"], r["news_score"]) == (q["price"], q["change_pct"], w["direction"], w["confidence"], w["news_company"])
+        assert abs(r["prob_up"] - w["p_up"]) < 6e-4 and abs(r["tech_score"] - w["tech"]) < 6e-4
+        late = w["hit_rate"] is not None and w["hit_rate"] < w["baseline"] - (0.25 / w["effective_n"]) ** 0.5
+        assert r["caveat_flag"] == late and (not late or r["confidence"] == "low")
+        assert (r["plan"] is None) == (w["trade_plan"] is None)
+        if r["plan"]:
+            assert (r["plan"]["mode"], r["plan"]["sell_at"], r["plan"]["stop_at"]) == (w["trade_plan"]["mode"], w["trade_plan"]["target"], w["trade_plan"]["stop"])
