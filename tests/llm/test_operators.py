@@ -331,6 +331,20 @@ def test_coverage_of_maximal_repeats():
         assert all((g == w).all() for g, w in zip(got, brute_repeats(parts, 6)))
 
 
+def test_a_part_that_ends_hides_no_longer_repeat():
+    """The second part ends where the repeat of the first and the last goes on, and the third begins as that does."""
+    parts = [b"1HELLO-ma", b"2HELLO-", b"mb", b"3HELLO-mc"]
+    assert suffix_dedup.covered_runs(parts, 6) == [(0, 1, 8), (1, 1, 7), (3, 1, 8)]
+    assert (7, [1, 19]) in [(n, sorted(s)) for n, s in suffix_dedup.maximal_repeats(parts, 6)]
+    rng = random.Random(8)
+    for _ in range(400):
+        parts = [bytes(rng.choices(b"abcd", k=rng.randint(0, 9))) for _ in range(40)]
+        got = [np.zeros(len(p), bool) for p in parts]
+        for p, a, b in suffix_dedup.covered_runs(parts, 4):
+            got[p][a:b] = True
+        assert all((g == w).all() for g, w in zip(got, brute_repeats(parts, 4)))
+
+
 def test_maximal_repeats_report_all_occurrences():
     parts = [b"xxHELLO-WORLDyy", b"HELLO-WORLDzz", b"qHELLO-WORLq"]
     found = {(n, tuple(sorted(s))) for n, s in suffix_dedup.maximal_repeats(parts, 8)}
