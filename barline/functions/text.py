@@ -26,26 +26,40 @@ def unescape(c: Column) -> Column:
     return F.pandas_udf(batch, "string")(c)
 
 
+def replace_entities(c: Column, entities: list[tuple[str, str]]) -> Column:
+    """The given entities only, one after the other, as nested ``replace`` in SQL; ``unescape`` knows all, cut ones too."""
+    for name, char in entities:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
 #: Blanks of any script, as \s is in Unicode mode, and the four separators U+001C to U+001F.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
+#: Blanks as the SQL of pages has them: all of these but U+000B, which RE2's \s leaves out.
+SQL_BLANKS = r"[ \t\n\f\r\p{Z}\x1c-\x1f\x85]+"
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{BLANKS[4:]}|{BLANKS[4:]}$", "")
 
 
-def squeeze(c: Column, length: int = 300) -> Column:
-    return F.substring(F.trim(F.regexp_replace(c, BLANKS, " ")), 1, length)
+def squeeze(c: Column, length: int = 300, blanks: str = BLANKS) -> Column:
+    return F.substring(F.trim(F.regexp_replace(c, blanks, " ")), 1, length)
 
 
 def clean_summary(c: Column, length: int = 300) -> Column:
     return squeeze(unescape(strip_tags(c)), length)
 
 
+def clean_page(c: Column, entities: list[tuple[str, str]], length: int = 300) -> Column:
+    """Like ``clean_summary``, with the entities and blanks of the SQL of pages."""
+    return squeeze(replace_entities(strip_tags(c), entities), length, SQL_BLANKS)
+
+
 def company_name(c: Column) -> Column:
     """The common name: punctuation to spaces, then all legal endings off at once."""
     bare = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[,.()]", " "))
